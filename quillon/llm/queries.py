@@ -16,6 +16,12 @@ def _ready(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.quality_rules import quality_rules
 
