@@ -16,6 +16,12 @@ def _ready(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.packing import best_fit_packing
 
