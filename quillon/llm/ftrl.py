@@ -11,7 +11,7 @@ hashed counts are made by the executors, and the sequential updates run on the
 driver, where a text counts by its distinct features only.
 
 Edge cases: null and empty texts get the score of the bias alone; without labels
-of both kinds every score is the share of label 1 (0.5 without any); repeated
+of both kinds every score is near the only label (0.5 without any); repeated
 rows each get a row; other columns are ignored; an empty table gives an empty
 table.
 """
@@ -78,8 +78,9 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
     return model.weights().astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, target: str = "quality", fit_rows: int = FIT_ROWS, bits: int = BITS) -> np.ndarray:
-    sample = labelled(docs, labels, target, fit_rows, where).withColumn("label", (F.col(target) > 0).cast("int"))
+def gather(docs: DataFrame, labels: DataFrame, target: str, fit_rows: int, where: Column | None = None, bits: int = BITS) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The vectors (features, values) and targets (whole numbers) of a bounded sample of labelled rows, ordered by id."""
+    sample = labelled(docs, labels, target, fit_rows, where).withColumn("label", F.col(target).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,14 +92,18 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, target:
 
     rows = sample.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "label").mapInArrow(run, "doc_id long, label int, at array<int>, value array<float>").toArrow()
     rows = rows.sort_by("doc_id")
-    y = rows["label"].to_numpy()
+    at, value = rows["at"].combine_chunks(), rows["value"].combine_chunks()
+    ends, at, value = at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy()
+    return [(at[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], rows["label"].to_numpy()
+
+
+def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, target: str = "quality", fit_rows: int = FIT_ROWS, bits: int = BITS) -> np.ndarray:
+    vectors, y = gather(docs, labels.withColumn(target, (F.col(target) > 0).cast("int")), target, fit_rows, where, bits)
     out = np.zeros((1 << bits) + 1, np.float32)
     if not len(y) or y.min() == y.max():
         out[-1] = 0 if not len(y) else 30 if y[0] else -30
         return out
-    at, value = rows["at"].combine_chunks(), rows["value"].combine_chunks()
-    ends, at, value = at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy()
-    return train([(at[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], y, bits)
+    return train(vectors, y, bits)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:

@@ -30,6 +30,15 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.mixing import label_domains, mix
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = mix(docs.select("doc_id", "text"), label_domains(labels), {"clean": 0.9, "toxic": 0.04, "junk": 0.06})
+    p = [F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(("clean", "toxic", "junk"))]
+    return found.select("doc_id", "tokens", *p, "rate", "copies")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.packing import best_fit_packing
 
@@ -42,6 +51,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.html_extraction import html_extraction
+
+    return html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.licenses import license_scan
 
