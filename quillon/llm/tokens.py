@@ -18,7 +18,7 @@ _tokenizers: dict = {}
 class Units:
     """Ids of runs of text, as bytes of little-endian uint32."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -31,8 +31,6 @@ class Units:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _learn(self, runs: set[bytes]) -> None:
-        if len(self.runs) + len(runs) > self.most:
-            self.runs.clear()
         if len(self.parts) > self.most:
             self.parts.clear()
         plain, split = [], []
@@ -51,15 +49,15 @@ class Units:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        out = []
-        for text in texts:
-            runs = text.split()
-            if new := set(runs).difference(self.runs):
-                self._learn(new)
-                if len(self.runs) > self.most or not all(map(self.runs.__contains__, runs)):  # the cache was emptied, or the text alone fills it
-                    self._learn(set(runs))
-            out.append(b"".join(map(self.runs.__getitem__, runs)))
-        return out
+        split = [text.split() for text in texts]
+        here = set().union(*split)
+        if new := here.difference(self.runs):
+            if len(self.runs) + len(new) > self.most:
+                self.runs.clear()
+                new = here
+            self._learn(new)
+        known = self.runs.__getitem__
+        return [b"".join(map(known, runs)) for runs in split]
 
 
 def units(path: str) -> Units:
