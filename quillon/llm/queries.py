@@ -45,6 +45,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quotations import quotation_linking
+
+    return quotation_linking(table(spark, sf_dir, "conversations"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.quality_rules import quality_rules
 
@@ -89,4 +95,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quillon.llm import quotations
+
+    return {"op5_quotation_linking": quotations.SQL}
