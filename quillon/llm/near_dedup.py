@@ -10,16 +10,17 @@ with 3e-6.  Classes are the connected components of the links.
 
 Equal texts are one node.  Not all pairs of a bucket are made:
 1. each member is aligned with its bucket's least member;
-2. where a bucket still spans several classes, its members of different classes
-   are compared block by block in memory by their lengths and by k-mer counts in
-   128 cells, whose overlap bounds L from above; what passes is aligned, the
-   likeliest few of a member and class at a time, until nothing is left.
-So the work grows with the members where they are alike, no link is lost, and
-only what the bound can't settle is aligned.
+2. buckets that still span several classes are joined to families, and what is
+   left of a family (its texts outside its largest class) is compared block by
+   block, in memory, with all of it.  The number of k-mers in common, an upper bound of L, comes for a
+   whole block from one matrix product; what it can't settle is aligned, likeliest first, and pairs that
+   are in one class by then are skipped.
+So the work grows with the members where they are alike, and no link between classes is lost.
 
 Scale: texts are read twice, once for the samples and once for the aligned ones;
 buckets hold keys only.  A first text that very many are aligned with is sent
-once for each 256 of them.  Everything that is read twice is written to the
+once for each 256 of them; a family's blocks hold 512 texts, and its largest class is sent
+once for each block of the rest.  Everything that is read twice is written to the
 shared folder.
 
 Edge cases: null counts as empty; equal texts, empty ones included, are one
@@ -42,8 +43,8 @@ from quillon.llm.components import components
 from quillon.llm.groups import runs
 from quillon.llm.shared import cut, drop
 
-GRAM, BANDS, PICKED, LIKE, CELLS = 5, 24, 4, 0.8, 128
-BLOCK, A_TIME, SALT_ROWS = 1024, 4, 256
+GRAM, BANDS, PICKED, LIKE = 5, 24, 4, 0.8
+BLOCK, SALT_ROWS, TABLE = 512, 256, 1 << 23
 _MULTIPLIERS = K.seeds(BANDS, 1)
 _BAND_CODE = K.seeds(BANDS, 101)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -113,26 +114,21 @@ def aligned(a: np.ndarray, b: np.ndarray, like: float = LIKE) -> float:
 
 
 def _samples(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), n, cells and the buckets of every row."""
+    """doc_id, key (of the text) and the buckets of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch.column(2)):
                 w = K.words(part, fold=_FOLD)
-                n, cells, bands = np.zeros(len(part), np.int32), [], np.zeros((len(part), BANDS), np.int64)
+                bands = np.zeros((len(part), BANDS), np.int64)
                 for i, (a, b) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True)):
-                    g = kmers(w.hash[a:b])
-                    n[i] = len(g)
-                    cells.append(np.minimum(np.bincount((g & K.U64(CELLS - 1)).astype(np.int64), minlength=CELLS), 65535).astype(np.uint16).tobytes())
                     if a < b:
-                        bands[i] = K.mix(K.order_min_hash(g, _MULTIPLIERS, PICKED) ^ _BAND_CODE).astype(np.int64)
+                        bands[i] = K.mix(K.order_min_hash(kmers(w.hash[a:b]), _MULTIPLIERS, PICKED) ^ _BAND_CODE).astype(np.int64)
                 ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, len(part)), batch.column(1).slice(part.first, len(part)), pa.array(n), pa.array(cells, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))],
-                    names=["doc_id", "key", "n", "cells", "bands"],
-                )
+                ids = (batch.column(c).slice(part.first, len(part)) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([*ids, pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))], names=["doc_id", "key", "bands"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, key binary, n int, cells binary, bands array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -171,104 +167,124 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a binary, b binary, alike boolean")
 
 
-def _across(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs to align: of different classes, in a bucket together, not settled by the bound; the ``turn``-th few of each member and first class.
+def in_common(sequences: list[np.ndarray]) -> np.ndarray:
+    """How many k-mers each two sequences have in common, counting repeats."""
+    n = len(sequences)
+    labelled = [K.mix(s + K.occurrence(s).astype(K.U64) * K.U64(0x9E3779B97F4A7C15)) for s in sequences]
+    row = np.repeat(np.arange(n), list(map(len, labelled)))
+    _, column, times = np.unique(np.concatenate(labelled), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], column[shared]
+    names, column = np.unique(column, return_inverse=True)
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    step = max(1, TABLE // n)
+    for lo in range(0, len(names), step):
+        a, b = np.searchsorted(column, [lo, lo + step])
+        table = np.zeros((n, min(step, len(names) - lo)), np.float32)
+        table[row[a:b], column[a:b] - lo] = 1
+        out += table @ table.T
+    return out
 
-    rows: bucket, band, p and q (blocks), block, key, n, cells, bands, root (class before the first turn), component (now).
-    """
+
+def links_across(keys: list[bytes], texts: pa.Array, classes: list[bytes], blocks: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Links that join all alike texts of different classes (if there are two blocks: across them) to classes."""
+    order = sorted(range(len(keys)), key=lambda i: keys[i])
+    seqs = sequences(texts)
+    keys, seqs, classes, blocks = [keys[i] for i in order], [seqs[i] for i in order], [classes[i] for i in order], blocks[order]
+    label = np.unique(np.array(classes, object), return_inverse=True)[1]
+    n = np.array(list(map(len, seqs)))
+    common = in_common(seqs)
+    enough = np.ceil(LIKE * (n[:, None] + n[None, :]) / (1 + LIKE) - 1e-9)
+    open_ = (common >= enough) & (label[:, None] != label[None, :])
+    if blocks.min() != blocks.max():
+        open_ &= blocks[:, None] != blocks[None, :]
+    i, j = np.nonzero(np.triu(open_, 1))
+    likely = np.argsort(-common[i, j] / (n[i] + n[j]), kind="stable")
+    parent = list(range(int(label.max()) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
+        x, y = root(label[a]), root(label[b])
+        if x != y and aligned(seqs[a], seqs[b]) > 0:
+            parent[x] = y
+            out.append((keys[a], keys[b]))
+    return out
+
+
+def _across(families: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) within the families (family, key, component) that join different components."""
+    sizes = families.groupBy("family", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
+    marked = families.join(sizes, "family").withColumn("big", (F.col("size") > BLOCK) & (F.col("component") == F.col("most.component")))
+    n_big = F.when(F.col("size") > BLOCK, F.col("most.n")).otherwise(0)
+    marked = marked.withColumn("rest", F.greatest(F.lit(1), F.ceil((F.col("size") - n_big) / BLOCK)).cast("int")).withColumn("bigs", F.ceil(n_big / BLOCK).cast("int"))
+    code = F.xxhash64("key")
+    marked = marked.withColumn("block", F.when(F.col("big"), F.col("rest") + F.pmod(code, F.greatest("bigs", F.lit(1)))).otherwise(F.pmod(code, F.col("rest"))).cast("int"))
+    last = F.when(F.col("big"), F.col("rest")).otherwise(F.col("rest") + F.col("bigs")) - 1
+    marked = marked.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, "bucket", "p", "q"):
+        for group in runs(batches, "family", "p", "q"):
             t = group.combine_chunks()
-            p, q, band = t["p"][0].as_py(), t["q"][0].as_py(), t["band"][0].as_py()
-            comp, root = np.unique(t["component"].to_numpy(zero_copy_only=False), return_inverse=True)[1], np.unique(t["root"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
-            if comp.max(initial=0) == 0:
-                continue
-            keys = np.array(t["key"].to_pylist(), object)
-            n = t["n"].to_numpy().astype(np.int64)
-            cells = np.frombuffer(b"".join(t["cells"].to_pylist()), np.uint16).reshape(-1, CELLS)
-            bands = np.array(t["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
-            block = t["block"].to_numpy()
-            order = np.lexsort((keys, n))
-            keys, n, cells, bands, block, comp, root = (x[order] for x in (keys, n, cells, bands, block, comp, root))
-            out: list[list] = [[], []]
-            for i in range(len(n)):
-                end = int(np.searchsorted(n, n[i] / LIKE, side="right"))
-                others = np.arange(i + 1, end)
-                others = others[(comp[others] != comp[i]) & ((block[others] != block[i]) | (p == q))]
-                if band and len(others):  # a pair is made in the first band that it shares
-                    others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
-                if not len(others):
-                    continue
-                most = np.minimum(cells[others], cells[i]).sum(axis=1, dtype=np.int64)
-                good = most >= np.ceil(LIKE * (n[others] + n[i]) / (1 + LIKE) - 1e-9)
-                others, most = others[good], most[good]
-                if not len(others):
-                    continue
-                rank_order = np.lexsort((others, -most, root[others]))
-                others = others[rank_order]
-                mine = K.occurrence(root[others])
-                for j in others[(mine >= turn * A_TIME) & (mine < (turn + 1) * A_TIME)]:
-                    out[0].append(min(keys[i], keys[j]))
-                    out[1].append(max(keys[i], keys[j]))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["a", "b"])
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(run, "a binary, b binary").distinct()
+            found = links_across(t["key"].to_pylist(), t["text"], t["component"].to_pylist(), t["block"].to_numpy()) if len(t) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
 
+    parts = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return marked.join(texts, "key").repartition(parts, "family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(run, "a binary, b binary")
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (least id of its class), n_class (documents in the class), n_copies (of its text) and n_links (texts aligned as alike with its text)."""
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row, and (key, first_id, n_copies, component) of every text."""
     rows = cut(_samples(docs), "samples")
-    # the texts; ranked by how many bands at all matter only from here on
-    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("bands").alias("bands")), "nodes")
-    buckets = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("last"), F.count("*").alias("size")).filter("pivot < last")
-    members = cut(buckets.join(shared, "bucket").select("bucket", "band", "key", "pivot", "size"), "members")
-    held = members.select("key").distinct().join(nodes.select("key", "first_id"), "key")
-    texts = _keyed(docs).withColumn("first_id", F.coalesce("doc_id", F.lit(0)))
-    texts = texts.join(held.select("key", F.coalesce("first_id", F.lit(0)).alias("first_id")), ["key", "first_id"], "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = cut(texts, "texts")
-
-    compared = cut(_verify(members.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), texts), "compared")
-    labels = cut(components(compared.filter("alike").select("a", "b")), "labels")
-    first, turn, every = labels, 0, [compared]
-
-    def labelled(df: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    nodes = cut(nodes, "nodes")
+    buckets = nodes.select("key", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).filter("pivot < last")
+    members = cut(buckets.join(shared, "bucket").select("bucket", "key", "pivot"), "members")
+    none = -(1 << 63)
+    held = members.select("key").distinct().join(nodes.select("key", F.coalesce("first_id", F.lit(none)).alias("first_id")), "key")
+    texts = _keyed(docs).withColumn("first_id", F.coalesce("doc_id", F.lit(none))).join(held, ["key", "first_id"], "left_semi")
+    texts = cut(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")
+
+    def classed(df: DataFrame, of: DataFrame, name: str = "component") -> DataFrame:
         return df.join(of.select(F.col("node").alias("key"), F.col("component").alias(name)), "key", "left").withColumn(name, F.coalesce(name, "key"))
 
-    while True:
-        marked = labelled(labelled(members, first, "root"), labels, "component")
-        mixed = marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        wide = marked.join(mixed, "bucket")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        wide = wide.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        wide = wide.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-        wide = wide.join(nodes.select("key", "n", "cells", "bands"), "key").select("bucket", "band", "p", "q", "block", "key", "n", "cells", "bands", "root", "component")
-        before = every[0].select("a", "b")
-        for x in every[1:]:
-            before = before.unionByName(x.select("a", "b"))
-        before = before.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = cut(_across(wide, turn), "pairs")
-        if not found.take(1):
-            drop(found)
-            break
-        checked = cut(_verify(found.join(before, ["a", "b"], "left_anti"), texts), "compared")
-        drop(found)
-        every.append(checked)
-        if checked.filter("alike").take(1):
-            links = every[0]
-            for x in every[1:]:
-                links = links.unionByName(x)
-            labels = cut(components(links.filter("alike").select("a", "b")), "labels")
-        turn += 1
-    links = every[0]
-    for x in every[1:]:
-        links = links.unionByName(x)
-    links = links.filter("alike")
-    n_links = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
-    classed = labelled(nodes.select("key", "first_id", "n_copies"), labels, "component")
-    of_class = classed.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("n_copies").alias("n_class"))
-    known = classed.join(of_class, "component").join(n_links, "key", "left").select("key", "class_id", "n_class", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "n_class", "n_copies", "n_links")
+    pairs = members.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    links = _verify(pairs, texts).filter("alike").select("a", "b")
+    labels = cut(components(links), "labels")
+
+    marked = classed(members, labels)
+    mixed = marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    mixed = cut(marked.join(mixed, "bucket").select("key", "pivot", "component"), "mixed")
+    families = components(mixed.select(F.col("pivot").alias("a"), F.col("key").alias("b")).filter("a <> b").distinct())
+    families = classed(mixed.select("key", "component").distinct(), families, "family")
+    more = cut(_across(families, texts), "links")
+    if more.take(1):
+        labels = cut(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(more)), "labels")
+
+    return rows.select("doc_id", "key"), classed(nodes.select("key", "first_id", "n_copies"), labels)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class_id (least id of its class), n_class (documents in the class) and n_copies (of its text)."""
+    rows, found = _classes(docs)
+    of_class = found.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("n_copies").alias("n_class"))
+    found = found.join(of_class, "component").select("key", "class_id", "n_class", "n_copies")
+    return rows.join(found, "key").select("doc_id", "class_id", "n_class", "n_copies")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs, with all their columns, reduced to one row of each class: that of least id, and of several such texts the least."""
+    _, found = _classes(docs)
+    keep = found.groupBy("component").agg(F.min(F.struct("first_id", "key")).alias("one")).select(F.col("one.key").alias("key"), F.coalesce("one.first_id", F.lit(-(1 << 63))).alias("first_id"))
+    keyed = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("first_id"))
+    return keyed.join(keep, ["key", "first_id"]).groupBy("key", "first_id").agg(F.first("row").alias("row")).select("row.*")
