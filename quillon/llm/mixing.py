@@ -111,10 +111,7 @@ def solve(table: DataFrame, targets: np.ndarray, steps: int = STEPS) -> tuple[De
         momentum = (t - 1) / after
         totals = sums(lambda k, p: (descent.rates(p, momentum) * k) @ p, n)  # noqa: B023
         gap = (totals - targets) / whole
-        if np.abs(gap).max() < CLOSE * max(targets.max() / whole, 1e-9) and not momentum > 0:
-            break
-        if np.abs(gap).max() < CLOSE:
-            # stand where the momentum led
+        if np.abs(gap).max() < CLOSE:  # stand where the momentum led
             descent.gaps.append(np.zeros(n))
             descent.momenta.append(momentum)
             break
@@ -137,11 +134,11 @@ def posteriors(docs: DataFrame, domains: Domains) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tokens long, p array<double>")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS, relative: bool = False) -> DataFrame:
     """docs with tokens, p (in the order of targets), rate and copies.
 
-    targets: per domain the expected token total wanted, as a multiple of the
-    present one if negative is given (-0.5: half of what there is), else as a share of all present tokens.
+    targets: per domain the expected token total wanted, as a share of all present
+    tokens; with ``relative``, as a multiple of the domain's present total.
     """
     names = list(targets)
     domains = fit_domains(docs, labels, names, fit_rows)
@@ -149,7 +146,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows:
     present = np.zeros(len(names))
     for r in table.select("tokens", F.posexplode("p").alias("k", "p")).groupBy("k").agg(F.sum(F.col("tokens") * F.col("p")).alias("n")).collect():
         present[r["k"]] = r["n"]
-    wanted = np.array([-v * present[k] if v < 0 else v * present.sum() for k, v in enumerate(targets.values())])
+    wanted = np.array(list(targets.values())) * (present if relative else present.sum())
     descent, _ = solve(table, wanted)
     drop(table)
 

@@ -12,7 +12,7 @@ from quillon.llm.shared import table
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
-def _ready(spark: SparkSession) -> None:
+def ready(spark: SparkSession) -> None:
     """Python workers import this package from where the driver has it, unless the session says otherwise."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
 
@@ -84,14 +84,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
-    def ready(f):
+    def prepared(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            _ready(spark)
+            ready(spark)
             return f(spark, sf_dir)
 
         return run
 
-    return {name: ready(f) for name, f in found.items()}
+    return {name: prepared(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
