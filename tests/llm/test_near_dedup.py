@@ -1,0 +1,119 @@
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from quillon.llm import near_dedup as N
+from quillon.llm.components import components
+
+
+def edited(text, share, seed):
+    r = random.Random(seed)
+    words = text.split(" ")
+    for i in range(len(words)):
+        if r.random() < share:
+            words[i] = f"new{r.randrange(10**6)}"
+    return " ".join(words)
+
+
+def shingles(text):
+    w = text.lower().split()
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+
+def by_hand(a, b):
+    """The similarity by a full table."""
+    x, y = shingles(a), shingles(b)
+    if not x or not y:
+        return float(x == y)
+    t = np.zeros((len(x) + 1, len(y) + 1), int)
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            t[i + 1, j + 1] = t[i, j] + 1 if p == q else max(t[i, j + 1], t[i + 1, j])
+    return t[-1, -1] / (len(x) + len(y) - t[-1, -1])
+
+
+def classes_by_hand(ids, texts):
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(range(len(texts)), 2):
+        a, b = texts[i] or "", texts[j] or ""
+        if root(i) != root(j) and (a == b or by_hand(a, b) >= 0.8):
+            parent[root(i)] = root(j)
+    return [min(ids[j] for j in range(len(texts)) if root(j) == root(i)) for i in range(len(texts))]
+
+
+def test_alignment_is_the_full_one_or_below_the_limit(prose):
+    import pyarrow as pa
+
+    r = random.Random(5)
+    for k in range(150):
+        a = prose(r.choice([3, 6, 40, 90]), k)
+        b = edited(a, r.choice([0, 0.01, 0.03, 0.06]), k)
+        if r.random() < 0.3:
+            cut = r.randrange(len(b) + 1)
+            b = b[cut:] + " " + b[:cut] if r.random() < 0.5 else b[:cut] + " more words here " + b[cut:]
+        x, y = N.sequences(pa.array([a, b]))
+        want = by_hand(a, b)
+        assert N.aligned(x, y) == pytest.approx(want if want >= 0.8 else 0), (a, b)
+
+
+def test_classes_are_those_of_all_pairs(spark, documents, prose):
+    texts = [prose(60, i) for i in range(12)]
+    texts += [edited(texts[i % 4], 0.012, 100 + i) for i in range(40)]
+    texts += [texts[0], texts[0], texts[20], texts[3].upper(), "", None, "one two", "one two", "one  two", "one two three four five"]
+    order = list(range(len(texts)))
+    random.Random(1).shuffle(order)
+    found = {r["doc_id"]: r for r in N.near_duplicates(documents(texts, order)).collect()}
+    want = dict(zip(order, classes_by_hand(order, texts), strict=True))
+    assert {i: r["class_id"] for i, r in found.items()} == want
+    assert all(r["n_class"] == list(want.values()).count(r["class_id"]) for r in found.values())
+    kept = N.one_of_each(documents(texts, order))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert kept.columns == documents(texts, order).columns
+
+
+def test_a_family_in_many_blocks(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "SALT_ROWS", 3)
+    base = prose(80, 3)
+    texts = [base]
+    for i in range(40):  # chains: each near an earlier one
+        texts.append(edited(texts[i // 2], 0.01, i))
+    ids = list(range(len(texts)))
+    found = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(documents(texts)).collect()}
+    assert [found[i] for i in ids] == classes_by_hand(ids, texts)
+
+
+def test_empty_table_nulls_and_repeated_rows(spark, documents):
+    assert N.near_duplicates(documents([])).count() == 0
+    assert N.one_of_each(documents([])).count() == 0
+    rows = N.near_duplicates(documents(["a b c", "a b c", None], [None, 3, None])).collect()
+    assert sorted(map(str, ((r["doc_id"], r["class_id"]) for r in rows))) == ["(3, 3)", "(None, 3)", "(None, None)"]
+    assert N.one_of_each(documents(["a b", "a b"], [5, 5])).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_are_those_of_union_find(spark, seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(40), r.randrange(40)) for _ in range(30)] + [(i, i + 1) for i in range(100, 130)] + [(200, 201), (201, 200)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    found = {n["node"]: n["component"] for n in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert found == {x: root(x) for x in linked}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
