@@ -108,26 +108,19 @@ def license_scan(docs: DataFrame) -> DataFrame:
     # a row's identity, so that repeated ids stay rows of their own
     rows = matches(docs).withColumn("row", F.monotonically_increasing_id())
     votes = rows.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "n_words", "hit.*")
-    votes = votes.join(F.broadcast(templates), ["hash", "window"], "left").withColumn("diagonal", F.col("place") - F.col("t_place"))
-    on_diagonal = votes.groupBy("row", "doc_id", "n_words", "template", "phrase", "label", "windows", "diagonal").agg(F.countDistinct("t_place").alias("votes"), F.collect_set("t_place").alias("places"))
-    spans = on_diagonal.groupBy("row", "doc_id", "n_words").agg(F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "phrase", "label", "windows", "votes", "places"))).alias("spans"))
-    spans = spans.withColumn("bases", F.filter("spans", lambda s: s["phrase"] & (s["votes"] == s["windows"])))
-    # neighbouring diagonals of a template vote together
-    def share(s):
-        near = F.filter(F.col("spans"), lambda o: (o["template"] == s["template"]) & (F.abs(o["diagonal"] - s["diagonal"]) <= DRIFT))
-        return F.size(F.array_distinct(F.flatten(F.transform(near, lambda o: o["places"])))) / s["windows"]
-
-    spans = spans.withColumn("found", F.transform(F.filter("spans", lambda s: ~s["phrase"]), lambda s: F.struct(s["label"].alias("label"), share(s).alias("share"))))
-    base = F.array_distinct(F.transform("bases", lambda s: s["label"]))
-    more = F.array_distinct(F.transform(F.filter("found", lambda s: s["share"] >= COVERED), lambda s: s["label"]))
-    starts = F.transform("bases", lambda s: s["diagonal"])
-    return spans.select(
-        "doc_id",
-        "n_words",
-        F.size("bases").cast("long").alias("n_base"),
-        F.array_min(starts).alias("first_word"),
-        F.array_max(starts).alias("last_word"),
-        F.array_join(F.array_sort(base), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
-        F.when(F.size("bases") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("found", lambda s: s["share"])), F.lit(0.0))).alias("score"),
+    votes = votes.join(F.broadcast(templates), ["hash", "window"], "left")
+    # a vote for a template counts for the neighbouring diagonals too
+    near = F.when(F.col("phrase"), F.array(F.lit(0))).when(F.col("template").isNotNull(), F.sequence(F.lit(-DRIFT), F.lit(DRIFT))).otherwise(F.array(F.lit(0)))
+    votes = votes.withColumn("near", F.explode(near)).withColumn("diagonal", F.col("place") - F.col("t_place") + F.col("near"))
+    spans = votes.groupBy("row", "doc_id", "n_words", "template", "phrase", "label", "windows", "diagonal").agg((F.countDistinct("t_place") / F.col("windows")).alias("share"))
+    base, covered = F.col("phrase") & (F.col("share") == 1), ~F.col("phrase") & (F.col("share") >= COVERED)
+    found = spans.groupBy("row", "doc_id", "n_words").agg(
+        F.count(F.when(base, 1)).alias("n_base"),
+        F.min(F.when(base, F.col("diagonal"))).alias("first_word"),
+        F.max(F.when(base, F.col("diagonal"))).alias("last_word"),
+        F.collect_set(F.when(base, F.col("label"))).alias("base_labels"),
+        F.collect_set(F.when(base | covered, F.col("label"))).alias("labels"),
+        F.max(F.when(base, F.lit(1.0)).when(~F.col("phrase"), F.col("share"))).alias("score"),
     )
+    text = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", text("base_labels"), text("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
