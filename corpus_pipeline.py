@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import mixing, near_dedup, packing, quality_rules, suffix_dedup
 from quillon.llm.queries import ready
@@ -31,14 +30,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of long strings go, and documents of which nothing else is left."""
-    cleaned = suffix_dedup.suffix_dedup(docs).filter("n_removed = 0 or trim(text) <> ''")
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return suffix_dedup.rows_cleaned(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says."""
-    found = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), MIX, relative=True)
-    return found.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixing.rows_mixed(docs, mixing.label_domains(table(spark, sf_dir, "labels")), MIX, relative=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

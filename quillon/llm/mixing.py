@@ -17,7 +17,8 @@ expectation; rates within ``SNAP`` of a whole number count as that number.
 
 Edge cases: null and empty texts have no tokens, and the rate of their posteriors;
 domains that no label has keep a total of zero; without labels all domains are equally
-likely; repeated rows draw alike; other columns are kept; an empty table gives an
+likely; repeated rows draw alike; other columns are kept (in
+``mix``, but for those named as its own); an empty table gives an
 empty table.
 """
 
@@ -134,12 +135,8 @@ def posteriors(docs: DataFrame, domains: Domains) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tokens long, p array<double>")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS, relative: bool = False) -> DataFrame:
-    """docs with tokens, p (in the order of targets), rate and copies.
-
-    targets: per domain the expected token total wanted, as a share of all present
-    tokens; with ``relative``, as a multiple of the domain's present total.
-    """
+def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int, relative: bool) -> DataFrame:
+    """row (the other columns), text, tokens, p, rate and copies of every row."""
     names = list(targets)
     domains = fit_domains(docs, labels, names, fit_rows)
     table = cut(posteriors(docs, domains), "posteriors")
@@ -169,7 +166,25 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows:
 
     found = rows.mapInArrow(run, f"row {row}, text string, tokens long, p array<double>, rate double")
     draw = F.pmod(F.xxhash64(F.col("row.doc_id"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    return found.select(*(F.col(f"row.`{c}`").alias(c) for c in others), "text", "tokens", "p", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
+    return found.select("row", "text", "tokens", "p", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
+
+
+OWN = ("text", "tokens", "p", "rate", "copies")
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS, relative: bool = False) -> DataFrame:
+    """docs with tokens, p (in the order of targets), rate and copies; columns of these names give way to them.
+
+    targets: per domain the expected token total wanted, as a share of all present
+    tokens; with ``relative``, as a multiple of the domain's present total.
+    """
+    return _mixed(docs, labels, targets, fit_rows, relative).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in OWN), *OWN)
+
+
+def rows_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS, relative: bool = False) -> DataFrame:
+    """docs, with all their columns, each row as often as its copies say."""
+    rows = _mixed(docs, labels, targets, fit_rows, relative).filter("copies > 0").select("row", "text", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return rows.select(*((F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

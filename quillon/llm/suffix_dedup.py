@@ -293,8 +293,8 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
 
 
-def suffix_dedup(docs: DataFrame, keep_first: bool = True, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """The rows of docs with the text that is left, and n_bytes, n_removed, n_spans, spans (removed byte ranges) and kept (the bytes left)."""
+def _cleaned(docs: DataFrame, keep_first: bool, length: int, hot: int) -> DataFrame:
+    """row (the other columns), text, n_bytes, n_removed, n_spans, spans and kept of every row."""
     others = [c for c in docs.columns if c != "text"]
     spans = repeated_spans(docs, keep_first, length, hot)
     joined = _keyed(docs, F.struct(*(F.col(c) for c in others)).alias("row")).join(spans, ["doc_id", "key"], "left").select("row", "text", "spans")
@@ -319,6 +319,22 @@ def suffix_dedup(docs: DataFrame, keep_first: bool = True, length: int = LENGTH,
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["row", "text", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    cleaned = joined.mapInArrow(run, f"row {row}, text string, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
-    mine = [F.col(f"row.`{c}`").alias(c) for c in others]
-    return cleaned.select(*mine, "text", "n_bytes", "n_removed", "n_spans", "spans", "kept")
+    return joined.mapInArrow(run, f"row {row}, text string, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
+
+
+OWN = ("text", "n_bytes", "n_removed", "n_spans", "spans", "kept")
+
+
+def suffix_dedup(docs: DataFrame, keep_first: bool = True, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """The rows of docs with the text that is left, and n_bytes, n_removed, n_spans, spans (removed byte ranges) and kept (the bytes left).
+
+    Columns of docs of these names give way to them.
+    """
+    return _cleaned(docs, keep_first, length, hot).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in OWN), *OWN)
+
+
+def rows_cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs, with all their columns, without later copies of long strings; rows of which nothing else is left go.  n_chars, if there, is set anew."""
+    rows = _cleaned(docs, True, length, HOT).filter("n_removed = 0 or trim(text) <> ''")
+    anew = {"text": F.col("text"), "n_chars": F.length("text")}
+    return rows.select(*((anew[c].cast(docs.schema[c].dataType) if c in anew else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
