@@ -1,63 +1,107 @@
 """Tokenization by units: white space never lies inside a token of the vocabulary
 used here, so a text's ids are those of its white-space runs, one after the other.
 Runs recur, so a bounded cache holds the ids of each; a run that is letters
-followed by punctuation is looked up as those two parts."""
+followed by punctuation is looked up as those two parts, in lower case."""
 
 from __future__ import annotations
 
+import gc
 import os
 import string
+import threading
+import time
 import unicodedata
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
 _tokenizers: dict = {}
+_POINTS = string.punctuation.encode()
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = dict(zip(_PRINTABLE, _PRINTABLE, strict=True)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Seconds after which an unused cache is emptied: Spark keeps workers for other jobs.
+IDLE = 6
 
 
 class Units:
     """Ids of runs of text, as bytes of little-endian uint32."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.runs: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.lock, self.used = threading.Lock(), time.monotonic()
+        threading.Thread(target=self._watch, daemon=True).start()
+
+    def _watch(self) -> None:
+        while True:
+            time.sleep(IDLE / 2)
+            with self.lock:
+                if self.runs and time.monotonic() - self.used > IDLE:
+                    self._empty()
+
+    def _empty(self) -> None:
+        self.runs, self.parts = {}, {b"": b""}
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _learn(self, runs: set[bytes]) -> None:
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        plain, split = [], []
-        for run in runs:
-            text = run.decode()
-            head = text.rstrip(string.punctuation)
-            if len(head) < 2 or not head.isalpha() or not (head.isascii() or unicodedata.is_normalized("NFC", head) and "İ" not in head and "Σ" not in head):
-                plain.append((run, text))
+    def encode_parts(self, parts: Iterable[bytes]) -> Iterable[bytes]:
+        """The ids of texts that are one word of the pre-tokenizer each and in lower case: the merges alone are left to do."""
+        merged = self.tokenizer.model.tokenize
+        for part in parts:
+            written = part.decode("latin-1")
+            yield array("I", [t.id for t in merged(written if part.isascii() else written.translate(_WRITTEN))]).tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        parts, plain = self.parts, []
+        whole, heads, tails = [], [], []
+        for run in new:
+            head = run.rstrip(_POINTS)
+            if head.isalpha():  # ASCII letters
+                low = head.lower()
             else:
-                split.append((run, head.lower(), text[len(head) :]))
-        new = list({p for _, a, b in split for p in (a, b) if p and p not in self.parts})
-        self.parts.update(zip(new, self.encode(new), strict=True))
-        parts = self.parts
-        self.runs.update((run, parts[a] + parts[b] if b else parts[a]) for run, a, b in split)
-        self.runs.update(zip((r for r, _ in plain), self.encode(t for _, t in plain), strict=True))
+                # others count as letters if Unicode says so and neither composing nor lower-casing depends on what stands beside
+                text = head.decode()
+                if not text.isalpha() or not unicodedata.is_normalized("NFC", text) or "İ" in text or "Σ" in text:
+                    plain.append(run)
+                    continue
+                low = text.lower().encode()
+            whole.append(run)
+            heads.append(low)
+            tails.append(run[len(head) :])
+        missing = list(set(heads).union(tails).difference(parts))
+        parts.update(zip(missing, self.encode_parts(missing), strict=True))
+        find = parts.__getitem__
+        self.runs.update(zip(whole, map(bytes.__add__, map(find, heads), map(find, tails)), strict=True))
+        self.runs.update(zip(plain, self.encode(map(bytes.decode, plain)), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        split = [text.split() for text in texts]
-        here = set().union(*split)
-        if new := here.difference(self.runs):
-            if len(self.runs) + len(new) > self.most:
-                self.runs.clear()
-                new = here
-            self._learn(new)
-        known = self.runs.__getitem__
-        return [b"".join(map(known, runs)) for runs in split]
+        collects = gc.isenabled()
+        gc.disable()  # nothing here forms cycles, and the lists are long
+        try:
+            with self.lock:
+                split = [text.split() for text in texts]
+                here = set().union(*split)
+                if new := here.difference(self.runs):
+                    if len(self.runs) + len(new) > self.most:  # the parts stay longer: they are what costs
+                        self.runs, new = {}, here
+                        if len(self.parts) > 2 * self.most:
+                            self._empty()
+                    self._learn(new)
+                self.used = time.monotonic()
+                known = self.runs.__getitem__
+                return [b"".join(map(known, runs)) for runs in split]
+        finally:
+            if collects:
+                gc.enable()
 
 
 def units(path: str) -> Units:
