@@ -1,8 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression, fitted by
 follow-the-regularised-leader updates and scored as sparse dot products.
 
-Words are the whitespace runs of the lower-cased text (ASCII letters); words
-and word pairs are hashed into 2^18 weights.  A document is the unit vector of
+Words are the whitespace runs of the lower-cased text (ASCII letters); words, word
+pairs and pairs of word shapes (which see junk made of rare words) are hashed into 2^18 weights.  A document is the unit vector of
 its damped counts, so length does not decide its score.
 
 Scale: scoring is one pass without a shuffle; the weights (1 MB, fixed) go to
@@ -33,14 +33,34 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+#: Kinds of bytes: lower-case letters (and all beyond ASCII), capitals, digits, white space; the others are their own.
+_KIND = np.arange(256, dtype=np.uint8)
+_KIND[97:123], _KIND[128:], _KIND[65:91], _KIND[48:58] = 97, 97, 65, 48
+
+
+def shapes(part: K.Slice, w: K.Words) -> np.ndarray:
+    """A hash of each word's shape: the kinds of its bytes, runs of a kind as one ("Hello!!" is Aa!)."""
+    kind = _KIND[part.data]
+    new = np.ones(len(kind), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    new[w.start] = True
+    count = np.zeros(len(kind) + 1, np.int64)
+    np.cumsum(new, out=count[1:])
+    return K.Prefix(kind[new]).ranges(count[w.start], count[w.end])
+
+
 def features(part: K.Slice, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, feature and value of each non-zero of a slice's document vectors, ordered by row and feature."""
+    """Row, feature and value of each non-zero of a slice's document vectors, ordered by row and feature.
+
+    The n-grams are words, pairs of words and pairs of shapes; a word that repeats the one before it counts as one more.
+    """
     w = K.words(part, fold=_FOLD)
-    pair = K.grams(w.hash, 2)
-    same = w.row[:-1] == w.row[1:] if len(w.row) > 1 else np.zeros(0, bool)
-    row = np.concatenate([w.row, w.row[:-1][same]]) if len(w.row) else w.row
-    at = np.concatenate([w.hash, pair[same]]) >> K.U64(64 - bits)
-    key, times = np.unique(row.astype(np.int64) << bits | at.astype(np.int64), return_counts=True)
+    same = np.flatnonzero(w.row[:-1] == w.row[1:]) if len(w.row) > 1 else np.zeros(0, np.int64)
+    again = same[w.hash[same] == w.hash[same + 1]]
+    with np.errstate(over="ignore"):
+        found = np.concatenate([w.hash, K.grams(w.hash, 2)[same], K.mix(K.grams(shapes(part, w), 2)[same] + K.U64(1)), np.full(len(again), 0x5DEECE66D00B1257, K.U64)])
+    row = np.concatenate([w.row, w.row[same], w.row[same], w.row[again]])
+    key, times = np.unique(row.astype(np.int64) << bits | (found >> K.U64(64 - bits)).astype(np.int64), return_counts=True)
     row, value = key >> bits, 1 + np.log(times)
     norm = np.sqrt(np.bincount(row, value * value, len(part)))
     return row, key & ((1 << bits) - 1), value / norm[row]

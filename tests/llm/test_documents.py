@@ -106,7 +106,10 @@ def test_classifier_of_one_document_is_the_plain_formula():
     row, at, value = ftrl.features(part)
     assert row.tolist() == sorted(row) and set(row) == {0, 2}
     assert np.allclose(np.bincount(row, value**2)[[0, 2]], 1)
-    assert len(at[row == 0]) == 4  # b, a, "b a", "a a"
+    assert len(at[row == 0]) == 6  # b, a, "b a", "a a", the pair of shapes, the repetition
+    (part,) = K.slices(pa.array(["Hello!! Wörld!! été a1 42 A1b", "b2"]))
+    shape = ftrl.shapes(part, K.words(part))
+    assert shape[0] == shape[1] and shape[3] == shape[6] and len(set(shape.tolist())) == 5
 
 
 def licenses_by_hand(text):
