@@ -26,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import kernels as K
 
 SLOTS, GRAM, PICKED = 48, 3, 2
 _MULTIPLIERS = K.seeds(SLOTS, 9)
-ROWS_A_RANGE = 4096
+ROWS_A_RANGE, SIDE = 4096, 64
 
 
 def sketches(part: K.Slice, gram: int = GRAM, picked: int = PICKED, multipliers: np.ndarray = _MULTIPLIERS) -> np.ndarray:
@@ -67,6 +67,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _span(cuts: list[int]) -> Column:
+    """How many of the rising cuts lie above doc_id, so that span 0 holds the largest ids: the block of cuts first, then the place in it."""
+    if not cuts:
+        return F.lit(0)
+    blocks = [cuts[i : i + SIDE] for i in range(0, len(cuts), SIDE)]
+    up_to = lambda values: F.array_size(F.filter(values, lambda c: c <= F.col("doc_id")))
+    longs = lambda values: F.lit(values).cast("array<long>")
+    block = up_to(longs([b[0] for b in blocks])) - 1
+    below = F.when(block < 0, 0).otherwise(block * SIDE + up_to(F.get(F.array(*map(longs, blocks)), F.greatest(block, F.lit(0)))))
+    return (len(cuts) - below).cast("int")
+
+
 def dealt_in_ranges(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """(span, head, doc_id, text): rows in descending doc_id, cut into spans that lie whole in one partition and are sorted there.
 
@@ -75,12 +87,10 @@ def dealt_in_ranges(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFr
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = docs.count()
-    spans = max(1, min(-(-n // rows_a_range), 10_000))
+    spans = max(1, min(-(-n // rows_a_range), SIDE * SIDE))
     at = [i / spans for i in range(1, spans)]
     cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", at, 100 * spans).alias("x")).first()["x"] or [])) if at else []
-    # span 0 holds the largest ids
-    span = F.lit(0) if not cuts else F.array_size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c > F.col("doc_id")))
-    docs = docs.withColumn("span", span.cast("int"))
+    docs = docs.withColumn("span", _span(cuts))
     heads = docs.groupBy("span").agg(F.max(F.struct("doc_id", F.sha2("text", 256).alias("key"))).alias("top")).collect()
     heads = sorted((r["span"], r["top"]["doc_id"], r["top"]["key"]) for r in heads)
     if not heads:
