@@ -43,7 +43,7 @@ from quillon.llm.groups import runs
 from quillon.llm.shared import cut
 
 LENGTH, GRAM = 400, 32
-HOT, BATCH_BYTES, SHRINK = 4096, 1 << 19, 8
+HOT, BATCH_BYTES, SHRINK = 1024, 1 << 19, 8
 
 
 def anchors(part: K.Slice, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
