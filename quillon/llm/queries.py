@@ -95,6 +95,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillon.llm import quotations
+    from quillon.llm import quotations, suffix_dedup
 
-    return {"op5_quotation_linking": quotations.SQL}
+    return {"op2_suffix_dedup": suffix_dedup.SQL, "op5_quotation_linking": quotations.SQL}

@@ -338,3 +338,23 @@ def rows_cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = _cleaned(docs, True, length, HOT).filter("n_removed = 0 or trim(text) <> ''")
     anew = {"text": F.col("text"), "n_chars": F.length("text")}
     return rows.select(*((anew[c].cast(docs.schema[c].dataType) if c in anew else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+#: What op2 returns, in one statement: every string of 400 bytes by itself.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT id, doc_id, h, length(h) // 2 AS n FROM d),
+s AS (SELECT id, unnest(range(n - 399)) AS p, h FROM b WHERE n >= 400),
+k AS (SELECT id, p, md5_number(substr(h, 2 * p + 1, 800)) AS k FROM s),
+t AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+r AS (SELECT id, p, p - row_number() OVER (PARTITION BY id ORDER BY p) AS g FROM k SEMI JOIN t USING (k)),
+i AS (SELECT id, min(p) AS a, max(p) + 400 AS z FROM r GROUP BY id, g),
+m AS (SELECT id, a, z, sum(CASE WHEN a > before THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY a) AS run
+      FROM (SELECT *, coalesce(max(z) OVER (PARTITION BY id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM i)),
+u AS (SELECT id, run, min(a) AS a, max(z) AS z, row_number() OVER (PARTITION BY id ORDER BY min(a)) AS o FROM m GROUP BY id, run),
+x AS (SELECT id, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS la, list(z ORDER BY a) AS lz FROM u GROUP BY id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN x.id IS NULL THEN h ELSE array_to_string(list_transform(range(len(la) + 1), lambda j:
+         substr(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE lz[j] END) + 1, 2 * ((CASE WHEN j = len(la) THEN n ELSE la[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE lz[j] END)))), '') END)) AS kept_sha256
+FROM b LEFT JOIN x USING (id)
+"""
