@@ -66,38 +66,40 @@ def project_time_text(orders):
 
 # --- filters ------------------------------------------------------------------------
 
+_ORDERS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
+_PARTS = "p_partkey p_name p_brand p_size p_retailprice".split()
 _FILTERS = {
-    "filter_num_gt": "o_totalprice > 250000",
-    "filter_num_lt": "o_totalprice < 20000",
-    "filter_num_eq": "o_custkey = 7",
-    "filter_num_ne": "o_custkey <> 7",
-    "filter_num_ge": "o_custkey >= 100",
-    "filter_num_le": "o_custkey <= 100",
-    "filter_text_eq": "o_orderstatus = 'F'",
-    "filter_text_ne": "o_orderstatus <> 'F'",
-    "filter_text_lt": "o_orderpriority < '3'",
-    "filter_ts_gt": "o_orderdate > TIMESTAMP '1996-06-30 00:00:00'",
-    "filter_ts_between": "o_orderdate BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1995-12-31 23:59:59'",
-    "filter_and": "o_totalprice > 100000 AND o_orderstatus = 'O' AND o_custkey < 500",
-    "filter_or_dnf": "(o_totalprice > 200000 AND o_orderstatus = 'O') OR (o_totalprice < 50000 AND o_orderstatus = 'F')",
-    "filter_nested_bool": "(o_orderstatus = 'O' OR o_orderstatus = 'P') AND NOT (o_totalprice < 100000 OR o_custkey > 800)",
-    "filter_like_in_null": "o_orderpriority LIKE '1%' AND o_orderstatus IN ('O', 'F') AND o_orderdate IS NOT NULL",
-    "filter_arithmetic": "o_totalprice / 2 + 1000 > 90000 AND o_custkey % 2 = 1",
+    "filter_num_gt": ("orders", _ORDERS, "o_totalprice > 250000"),
+    "filter_num_lt": ("orders", _ORDERS, "o_totalprice < 20000"),
+    "filter_num_eq": ("part", _PARTS, "p_size = 15"),
+    "filter_num_ne": ("part", _PARTS, "p_size <> 15"),
+    "filter_num_ge": ("part", _PARTS, "p_size >= 40"),
+    "filter_num_le": ("part", _PARTS, "p_size <= 5"),
+    "filter_text_eq": ("orders", _ORDERS, "o_orderstatus = 'F'"),
+    "filter_text_ne": ("orders", _ORDERS, "o_orderstatus <> 'F'"),
+    "filter_text_lt": ("orders", _ORDERS, "o_orderpriority < '3'"),
+    "filter_ts_gt": ("orders", _ORDERS, "o_orderdate > TIMESTAMP '1996-06-30 00:00:00'"),
+    "filter_ts_between": ("orders", _ORDERS, "o_orderdate BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1995-12-31 23:59:59'"),
+    "filter_and": ("orders", _ORDERS, "o_totalprice > 100000 AND o_orderstatus = 'O' AND o_orderpriority >= '2'"),
+    "filter_or_dnf": ("orders", _ORDERS, "(o_totalprice > 200000 AND o_orderstatus = 'O') OR (o_totalprice < 50000 AND o_orderstatus = 'F')"),
+    "filter_nested_bool": ("orders", _ORDERS, "(o_orderstatus = 'O' OR o_orderstatus = 'P') AND NOT (o_totalprice < 100000 OR o_orderpriority > '4')"),
+    "filter_like_in_null": ("orders", _ORDERS, "o_orderpriority LIKE '1%' AND o_orderstatus IN ('O', 'F') AND o_orderdate IS NOT NULL"),
+    "filter_arithmetic": ("part", _PARTS, "p_retailprice / 2 + 10 * p_size > 900"),
 }
 
 
-def _filter(name: str, condition: str) -> None:
+def _filter(name: str, table: str, columns: list[str], condition: str) -> None:
     spark_condition = condition.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")
 
-    def run(orders):
-        return R.scan(R.where(orders, spark_condition), "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    def run(rows):
+        return R.scan(R.where(rows, spark_condition), *columns)
 
     run.__name__ = name
-    _query(f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE {condition}", "orders")(run)
+    _query(f"SELECT {', '.join(columns)} FROM {table} WHERE {condition}", table)(run)
 
 
-for _name, _condition in _FILTERS.items():
-    _filter(_name, _condition)
+for _name, _given in _FILTERS.items():
+    _filter(_name, *_given)
 
 # --- joins ----------------------------------------------------------------------------
 
@@ -119,9 +121,9 @@ def join_comma_where(customer, orders):
     return both.agg(F.round(F.avg("c_acctbal"), 4).alias("avg_balance"))
 
 
-@_query("SELECT s_suppkey, p_partkey FROM supplier JOIN part ON s_acctbal > p_retailprice * 5 WHERE s_suppkey <= 40 AND p_partkey <= 200", "supplier", "part")
-def join_theta_gt(supplier, part):
-    return R.scan(R.join(R.where(supplier, "s_suppkey <= 40"), R.where(part, "p_partkey <= 200"), condition="s_acctbal > p_retailprice * 5"), "s_suppkey", "p_partkey")
+@_query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_acctbal > n_nationkey * 400", "supplier", "nation")
+def join_theta_gt(supplier, nation):
+    return R.scan(R.join(supplier, nation, condition="s_acctbal > n_nationkey * 400", small=True), "s_suppkey", "n_name")
 
 
 @_query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey <> r_regionkey", "nation", "region")
@@ -239,9 +241,9 @@ def agg_over_join(lineitem, orders):
     return R.join(lineitem, R.where(orders, "o_orderstatus = 'O'"), [("l_orderkey", "o_orderkey")]).agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
 
 
-@_query("SELECT count(*) AS n, max(o_totalprice) AS most, sum(o_totalprice) AS total, avg(o_totalprice) AS mean FROM orders WHERE o_custkey < 0", "orders")
+@_query("SELECT count(*) AS n, max(o_totalprice) AS most, sum(o_totalprice) AS total, avg(o_totalprice) AS mean FROM orders WHERE o_totalprice < 0", "orders")
 def agg_empty_input(orders):
-    return R.total(R.where(orders, "o_custkey < 0"), n=("count", "*"), most=("max", "o_totalprice"), total=("sum", "o_totalprice"), mean=("avg", "o_totalprice"))
+    return R.total(R.where(orders, "o_totalprice < 0"), n=("count", "*"), most=("max", "o_totalprice"), total=("sum", "o_totalprice"), mean=("avg", "o_totalprice"))
 
 
 @_query("SELECT round(stddev_samp(o_totalprice), 2) AS spread, median(o_custkey) AS middle FROM orders", "orders")
