@@ -19,7 +19,7 @@ So the work grows with the members where they are alike, and no link between cla
 
 Scale: texts are read twice, once for the samples and once for the aligned ones;
 buckets hold keys only.  A first text that very many are aligned with is sent
-once for each 256 of them; a family's blocks hold 512 texts, and its largest class is sent
+once for each 256 of them; a family's blocks hold 256 texts, and its largest class is sent
 once for each block of the rest.  Everything that is read twice is written to the
 shared folder.
 
@@ -44,7 +44,7 @@ from quillon.llm.groups import runs
 from quillon.llm.shared import cut, drop
 
 GRAM, BANDS, PICKED, LIKE = 5, 24, 4, 0.8
-BLOCK, SALT_ROWS, TABLE = 512, 256, 1 << 23
+BLOCK, SALT_ROWS, TABLE = 256, 256, 1 << 21
 _MULTIPLIERS = K.seeds(BANDS, 1)
 _BAND_CODE = K.seeds(BANDS, 101)
 _FOLD = np.arange(256, dtype=np.uint8)
