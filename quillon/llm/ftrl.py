@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillon.llm import kernels as K
 from quillon.llm.samples import labelled
 
-BITS, FIT_ROWS, EPOCHS = 18, 6000, 6
+BITS, FIT_ROWS, EPOCHS = 18, 3000, 6
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -111,10 +111,14 @@ def gather(docs: DataFrame, labels: DataFrame, target: str, fit_rows: int, where
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), batch.column(2).slice(part.first, len(part)), *lists], names=["doc_id", "label", "at", "value"])
 
     rows = sample.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "label").mapInArrow(run, "doc_id long, label int, at array<int>, value array<float>").toArrow()
-    rows = rows.sort_by("doc_id")
-    at, value = rows["at"].combine_chunks(), rows["value"].combine_chunks()
-    ends, at, value = at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy()
-    return [(at[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], rows["label"].to_numpy()
+    ids, y, vectors = rows["doc_id"].to_numpy(), rows["label"].to_numpy(), []
+    for batch in rows.to_batches():  # without copies
+        at, value = batch.column("at"), batch.column("value")
+        ends, at, value = at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy()
+        vectors += [(at[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    # repeated ids tie; their vectors and labels decide nothing then but the order of equal updates
+    order = np.lexsort((np.array([len(v[0]) for v in vectors]), ids))
+    return [vectors[i] for i in order], y[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, target: str = "quality", fit_rows: int = FIT_ROWS, bits: int = BITS) -> np.ndarray:

@@ -36,7 +36,7 @@ from quillon.llm import ftrl
 from quillon.llm import kernels as K
 from quillon.llm.shared import cut, drop
 
-FIT_ROWS, STEPS, CLOSE, SNAP = 6000, 40, 2e-3, 0.02
+FIT_ROWS, STEPS, CLOSE, SNAP = 3000, 40, 2e-3, 0.02
 
 
 @dataclass
