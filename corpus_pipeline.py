@@ -24,26 +24,31 @@ REPEATED = 200
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
+    ready(spark)
     return quality_rules.rows_kept(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
+    ready(spark)
     return near_dedup.one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of long strings go, and documents of which nothing else is left."""
+    ready(spark)
     return suffix_dedup.rows_cleaned(docs, REPEATED)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says."""
+    ready(spark)
     return mixing.rows_mixed(docs, mixing.label_domains(table(spark, sf_dir, "labels")), MIX, relative=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences."""
+    ready(spark)
     return packing.best_fit_packing(docs)
 
 
@@ -60,7 +65,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
