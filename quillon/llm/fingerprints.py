@@ -33,7 +33,7 @@ from quillon.llm import kernels as K
 
 SLOTS, GRAM, PICKED = 48, 3, 2
 _MULTIPLIERS = K.seeds(SLOTS, 9)
-ROWS_A_RANGE, SIDE = 4096, 64
+ROWS_A_RANGE, SIDE = 512, 128
 
 
 def sketches(part: K.Slice, gram: int = GRAM, picked: int = PICKED, multipliers: np.ndarray = _MULTIPLIERS) -> np.ndarray:
@@ -89,7 +89,7 @@ def dealt_in_ranges(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFr
     n = docs.count()
     spans = max(1, min(-(-n // rows_a_range), SIDE * SIDE))
     at = [i / spans for i in range(1, spans)]
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", at, 100 * spans).alias("x")).first()["x"] or [])) if at else []
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", at, 20 * spans).alias("x")).first()["x"] or [])) if at else []
     docs = docs.withColumn("span", _span(cuts))
     heads = docs.groupBy("span").agg(F.max(F.struct("doc_id", F.sha2("text", 256).alias("key"))).alias("top")).collect()
     heads = sorted((r["span"], r["top"]["doc_id"], r["top"]["key"]) for r in heads)
@@ -103,7 +103,8 @@ def dealt_in_ranges(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFr
     first = first.dropDuplicates(["span"]).select(F.col("goes_to").alias("span"), F.lit(1).alias("head"), "doc_id", "text")
     dealt = docs.select("span", F.lit(0).alias("head"), "doc_id", "text").unionByName(first)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(max(parts, min(spans, 2000)), "span").sortWithinPartitions("span", "head", F.desc("doc_id"), F.desc(F.sha2("text", 256)))
+    # several spans to a partition, so that hashing deals them evenly
+    return dealt.repartition(max(parts, spans // 4), "span").sortWithinPartitions("span", "head", F.desc("doc_id"), F.desc(F.sha2("text", 256)))
 
 
 def edited(text: str, following: str) -> str:
