@@ -222,7 +222,8 @@ def links_across(keys: list[bytes], texts: pa.Array, classes: list[bytes], block
 def _across(families: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) within the families (family, key, component) that join different components."""
     sizes = families.groupBy("family", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
+    # a table of its own, so that the join below can split a large family's partition
+    sizes = cut(sizes.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most")), "sizes")
     marked = families.join(sizes, "family").withColumn("big", (F.col("size") > BLOCK) & (F.col("component") == F.col("most.component")))
     n_big = F.when(F.col("size") > BLOCK, F.col("most.n")).otherwise(0)
     marked = marked.withColumn("rest", F.greatest(F.lit(1), F.ceil((F.col("size") - n_big) / BLOCK)).cast("int")).withColumn("bigs", F.ceil(n_big / BLOCK).cast("int"))
