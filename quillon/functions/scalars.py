@@ -30,6 +30,15 @@ def time_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def to_date(c: Column) -> Column:
+    """Text to a date, of a timestamp too; unparsable text is null."""
+    return to_time(c).cast("date")
+
+
+def date_text(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd")
+
+
 def number_literal(value: float) -> Column:
     """A literal of the type of typed-CSV numbers, so that 99.99 equals a field 99.99."""
     return F.lit(value).cast("float")

@@ -6,6 +6,7 @@ result of a single ungrouped aggregate has the header ``avg(Salary (N))`` and si
 
 from __future__ import annotations
 
+import time
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -49,8 +50,9 @@ def write_folder(df: DataFrame, path: str) -> None:
     df.sparkSession.createDataFrame([(header(df),)], "line string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
 
-def write_aggregate(df: DataFrame, path: str, function: str, column: str, tag: str) -> None:
-    """The one value of df."""
+def write_aggregate(df: DataFrame, path: str | None, function: str, column: str, tag: str) -> str:
+    """The one value of df; without a path the file is named after function, column and time. Returns the path."""
+    path = path or f"{function}_{column}_{time.strftime('%Y%m%d_%H%M%S')}.csv"
     (value,) = df.first()
     if value is None:
         shown = ""
@@ -63,3 +65,4 @@ def write_aggregate(df: DataFrame, path: str, function: str, column: str, tag: s
     else:
         shown = str(value)
     Path(path).write_text(f"{function}({column} ({tag}))\n{shown}\n", encoding="utf-8")
+    return path

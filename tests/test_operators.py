@@ -93,6 +93,8 @@ def test_scalars(spark):
     assert [r["n"] for r in rows] == [1.5, None, None, None, None, None, None, None]
     assert [r["t"] for r in rows][4:] == ["2021-07-10 09:15:00", "2021-07-10 09:15:00", "2021-07-10 00:00:00", None]
     assert [r["b"] for r in rows][2:4] == [None, "x"]
+    dates = df.select(S.date_text(S.to_date(F.col("s"))).alias("d")).collect()
+    assert [r["d"] for r in dates][4:] == ["2021-07-10", "2021-07-10", "2021-07-10", None]
     assert df.select(S.number_literal(99.99) == F.lit("99.99").cast("float")).first()[0]
 
 

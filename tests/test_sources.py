@@ -70,3 +70,9 @@ def test_result_folder(spark, tmp_path):
 def test_tags_of_types(spark):
     df = spark.sql("SELECT 1 AS a, 'x' AS b, current_date() AS c, TRUE AS d")
     assert [typed_csv.tag_of(f) for f in df.schema] == ["N", "T", "D", "T"]
+
+
+def test_aggregate_files_name_themselves(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    path = results.write_aggregate(spark.sql("SELECT avg(x) FROM VALUES (1.5F), (2.5F) AS t(x)"), None, "avg", "x", "N")
+    assert path.startswith("avg_x_") and (tmp_path / path).read_text() == "avg(x (N))\n2.000000\n"
