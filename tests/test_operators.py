@@ -103,3 +103,25 @@ def test_window_helpers(small):
     ranks = {r["i"]: r["rank"] for r in R.ranked(df.filter("i is not null"), [], "x desc", "i").collect()}
     assert ranks == {6: 1, 1: 2, 4: 3, 3: 4, 2: 5}
     assert [r["running"] for r in R.running(df.filter("i in (1, 3, 4)"), ["s"], "x", "i").orderBy("i").collect()] == [1.5, -2.0, 1.5]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = plan_of(queries.queries()["sort_over_filter"](spark, DATA))
+    assert "GreaterThan(o_orderdate" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in plan
+    plan = plan_of(queries.queries()["join_three_way_grouped"](spark, DATA))
+    assert "GreaterThan(l_quantity" in plan and "l_comment" not in plan and "c_name" not in plan
+
+
+def test_top_rows_need_no_full_sort(spark):
+    plan = plan_of(queries.queries()["limit_topk"](spark, DATA))
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def test_no_python_in_the_engine(spark):
+    for name, query in queries.queries().items():
+        plan = plan_of(query(spark, DATA))
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas")), name
