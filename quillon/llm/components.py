@@ -28,14 +28,15 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large star: a's neighbours on both sides
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # a table of its own, so that the join can split the partition of a node with very many links
+        lowest = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = both.join(lowest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: each node's lesser neighbours and itself go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         after = cut(small, "links")
-        drop(edges)
+        drop(edges, lowest)
         edges, before, state = after, state, told(after)
         if state == before:
             break
