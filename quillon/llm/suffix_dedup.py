@@ -197,15 +197,16 @@ def _parted(excerpts: DataFrame, length: int) -> DataFrame:
 def _resolved(excerpts: DataFrame, length: int, hot: int) -> DataFrame:
     """_matched of all excerpts, in which those of hot anchors are cut first."""
     sizes = excerpts.groupBy("h").agg(F.count("*").alias("c"))
-    hot_ones = sizes.filter(F.col("c") > hot).select("h")
+    # tables of their own, here and below, so that joins can split a large group's partition
+    hot_ones = cut(sizes.filter(F.col("c") > hot).select("h"), "hot")
     if not hot_ones.take(1):
         return _matched(excerpts, length)
     cool = _matched(excerpts.join(hot_ones, "h", "left_anti"), length)
     parted = cut(_parted(excerpts.join(hot_ones, "h"), length).withColumn("first", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), (F.col("first.s") + F.col("at")).alias("s"))), "parted")
     pieces = parted.groupBy("ch", "cx").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.first("m").alias("m"), F.first("bytes").alias("bytes"), F.first("span").alias("span"))
     pieces = cut(pieces.select(F.col("ch").alias("h"), F.col("cx").alias("x"), "n", "first", "m", "bytes", "span"), "pieces")
-    groups = pieces.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("total")).filter("total > 1")
-    alone = pieces.join(groups.filter("c = 1"), "h").select("h", "x", F.array(F.lit(0), F.col("m") - 1).alias("any"), F.array().cast("array<int>").alias("earlier"))
+    groups = cut(pieces.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("total")).filter("total > 1").select("h", "c"), "groups")
+    alone = pieces.join(groups.filter("c = 1").select("h"), "h").select("h", "x", F.array(F.lit(0), F.col("m") - 1).alias("any"), F.array().cast("array<int>").alias("earlier"))
     several = cut(pieces.join(groups.filter("c > 1").select("h"), "h"), "several")
     solved = alone.unionByName(_resolved(several, length, hot))
     firsts = pieces.select(F.col("h").alias("ch"), F.col("x").alias("cx"), F.col("first").alias("piece_first"), F.col("m").alias("piece_m"))
@@ -268,7 +269,7 @@ def repeated_spans(docs: DataFrame, keep_first: bool = True, length: int = LENGT
     places = found.select("doc_id", "key", F.inline("at"))
     excerpts = places.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "s")).alias("first"), F.first("m").alias("m"), F.first("o").alias("o"))
     excerpts = cut(excerpts, "excerpts")
-    groups = excerpts.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("total")).filter("total > 1").select("h", "c")
+    groups = cut(excerpts.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("total")).filter("total > 1").select("h", "c"), "groups")
     again = cut(excerpts.join(groups, "h"), "repeated")
     bytes_ = _fetched(docs, again.filter("c > 1").drop("c"), length).dropDuplicates(["h", "x"])
     solved = _resolved(cut(bytes_, "bytes"), length, hot)
