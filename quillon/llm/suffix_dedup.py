@@ -209,8 +209,9 @@ def _resolved(excerpts: DataFrame, length: int, hot: int) -> DataFrame:
     alone = pieces.join(groups.filter("c = 1").select("h"), "h").select("h", "x", F.array(F.lit(0), F.col("m") - 1).alias("any"), F.array().cast("array<int>").alias("earlier"))
     several = cut(pieces.join(groups.filter("c > 1").select("h"), "h"), "several")
     solved = alone.unionByName(_resolved(several, length, hot))
-    firsts = pieces.select(F.col("h").alias("ch"), F.col("x").alias("cx"), F.col("first").alias("piece_first"), F.col("m").alias("piece_m"))
-    back = parted.select("h", "x", "at", "ch", "cx", "first").join(firsts, ["ch", "cx"]).join(solved.select(F.col("h").alias("ch"), F.col("x").alias("cx"), "any", "earlier"), ["ch", "cx"])
+    known = pieces.select(F.col("h").alias("ch"), F.col("x").alias("cx"), F.col("first").alias("piece_first"), F.col("m").alias("piece_m"))
+    known = cut(known.join(solved.select(F.col("h").alias("ch"), F.col("x").alias("cx"), "any", "earlier"), ["ch", "cx"]), "known")
+    back = parted.select("h", "x", "at", "ch", "cx", "first").join(known, ["ch", "cx"])
     earlier = F.when(F.col("first") == F.col("piece_first"), F.col("earlier")).otherwise(F.array(F.lit(0), F.col("piece_m") - 1))
     moved = back.select("h", "x", *(F.transform(c, lambda v: v + F.col("at")).alias(name) for c, name in ((F.col("any"), "any"), (earlier, "earlier"))))
     merged = moved.groupBy("h", "x").agg(F.flatten(F.collect_list("any")).alias("any"), F.flatten(F.collect_list("earlier")).alias("earlier"))
