@@ -1,29 +1,33 @@
 """HTML extraction by wrapper induction.
 
-Pages of a host share a template.  Up to about ``SAMPLE`` different pages of each
-host, chosen by hash, are parsed and their trees aligned by simple tree matching.
-Text that stays the same in most of them is the template's; places whose text varies
-are slots, and the deepest element that holds most slot text is the host's main place.
-Every page is then cut into blocks.  Template text goes, as do elements that are
+Pages of a host share a template.  Every different page of a host is parsed, and its texts
+are counted by place (the path of labels from the root) and wording: once over the
+host, once over the host's section (first directory of the url) and once over its layout
+(the pages with the same set of named blocks).  A text that stays the same in ``CONSTANT``
+of the pages of one of these groups is the template's; the other texts fill slots, and the
+deepest element that holds most slot text is the host's main place.
+Every page is then cut into blocks.  Blocks of template texts only go, as do elements that are
 menus, headers, footers, sidebars, notices, adverts, forms or comments by their
 element, role or class; of the rest the article is taken: an article or main element,
 one named so, the host's main place, or the deepest block that holds most of the text (in the last two
 without blocks that are all links).
 
-Scale: pages aren't grouped by host.  Distinct page hashes choose the sample, so a
-hot host or thousands of copies cost a count; the wrappers (a few hundred bytes a
-host) are broadcast if they measure less than ``BROADCAST_BYTES``, else joined.
+Scale: pages aren't grouped by host.  Copies of a page are merged by hash, texts are counted
+in the tasks that parse them and then by hash of group, place and wording, so a hot
+host costs its pages only.  What is kept of a group is less than 1 / ``CONSTANT`` times the
+texts of a mean page; wrappers are broadcast if they measure less than
+``BROADCAST_BYTES``, else joined.
 
 Edge cases: null counts as an empty page, whose text is empty; a url without host has
-the host ""; fewer than ``LEAST`` different pages of a host make no template; repeated
-rows each get a row; other columns are ignored; an empty table gives an empty table.
+the host ""; fewer than ``LEAST`` different pages of a group make no template, nor do pages
+that differ in nothing; a section or layout most of whose text stays the same holds copies of an
+article, and makes none; repeated rows each get a row; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import json
 import re
-from collections import Counter
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,10 +35,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.html_tree import BLOCKS, Node, match, parse
+from quillon.llm.html_tree import BLOCKS, Node, parse
 from quillon.llm.shared import cut
 
-SAMPLE, LEAST, CONSTANT, MOST_NODES, BROADCAST_BYTES = 10, 4, 0.8, 1500, 32 << 20
+LEAST, CONSTANT, BROADCAST_BYTES, HELD = 4, 0.8, 32 << 20, 100_000
 
 #: Elements, roles and class or id words of what is no main text.
 APART = frozenset("head script style noscript template nav header footer aside form button select textarea iframe svg canvas object dialog menu audio video title".split())
@@ -53,6 +57,17 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
+def section_of(url: Column) -> Column:
+    """The first directory of the url's path."""
+    return F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
+
+
+def layout_of(page: Column) -> Column:
+    """The set of a page's named blocks, without the numbers that tell pages apart."""
+    named = F.regexp_extract_all(F.lower(page), F.lit(r"<((?:article|aside|body|div|footer|form|header|main|nav|ol|section|table|ul)\s[^>]*?\b(?:class|id)\s*=\s*[\"']?[^\s\"'>]+)"), F.lit(1))
+    return F.concat_ws(" ", F.array_sort(F.array_distinct(F.transform(named, lambda x: F.regexp_replace(x, r"\d+", "")))))
+
+
 def _names(node: Node) -> set[str]:
     a = node.attributes
     return set(_WORD.findall(f"{a.get('class', '')} {a.get('id', '')}".lower())) if a else set()
@@ -79,22 +94,25 @@ def _apart(node: Node, in_main: bool, whole: int) -> bool:
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("texts", "text", "linked")
 
-    def __init__(self, path: str, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, texts: list[tuple[str, str]], text: str, linked: int):
+        """texts: of each text node that isn't blank, the path of its element, and its text."""
+        self.texts, self.text, self.linked = texts, text, linked
 
 
 def blocks(top: Node, path: str, in_main: bool, whole: int) -> list[Block]:
     """The blocks of text below an element, without what stands apart."""
     out: list[Block] = []
     parts: list[str] = []
-    state = {"path": path, "linked": 0}
+    texts: list[tuple[str, str]] = []
+    state = {"linked": 0}
 
     def flush() -> None:
         if text := " ".join("".join(parts).split()):
-            out.append(Block(state["path"], text, state["linked"]))
+            out.append(Block(texts.copy(), text, state["linked"]))
         parts.clear()
+        texts.clear()
         state["linked"] = 0
 
     # an explicit stack: pages nest deeper than calls may
@@ -103,10 +121,11 @@ def blocks(top: Node, path: str, in_main: bool, whole: int) -> list[Block]:
         what, node, at, inside, linked = todo.pop()
         if what == "close":
             flush()
-            state["path"] = at
             continue
         if node.tag == "#":
             parts.append(node.text)
+            if text := " ".join(node.text.split()):
+                texts.append((at, text))
             state["linked"] += len(node.text.strip()) * linked
             continue
         if node is not top and _apart(node, inside, whole):
@@ -119,7 +138,6 @@ def blocks(top: Node, path: str, in_main: bool, whole: int) -> list[Block]:
         block = node.tag in BLOCKS
         if block:
             flush()
-            state["path"] = here
             todo.append(("close", node, at, inside, linked))
         inside = inside or node.tag in ("article", "main")
         todo += [("open", c, here, inside, linked or node.tag == "a") for c in reversed(node.children)]
@@ -127,8 +145,16 @@ def blocks(top: Node, path: str, in_main: bool, whole: int) -> list[Block]:
     return out
 
 
-def _mark(path: str, text: str) -> str:
-    return xxhash.xxh3_64_hexdigest(f"{path}\0{text}")
+def _key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def _mark(path: str, text: str) -> int:
+    return _key(f"{path}\0{text}")
+
+
+def _within(group: int, mark: int) -> int:
+    return xxhash.xxh3_64_intdigest(struct.pack("<qq", group, mark)) - (1 << 63)
 
 
 def _candidates(root: Node) -> list[tuple[str, Node]]:
@@ -173,38 +199,80 @@ def _densest(found: list[tuple[str, Node]]) -> list[tuple[str, Node]]:
     return [max((x for x in blocks_ if sizes[id(x[1])] >= 0.7 * most), key=lambda x: x[0].count("/"))] if most else []
 
 
+#: A page's part in a group (KIND 0: level in deep, characters of its texts in size), a text (1: its element in up) or
+#: an element (2: m is its path's key, up its parent's, deep the path's length if it may be a main place); plain counts characters outside links.
+ROWS = "kind int, g long, m long, up long, deep long, size long, plain long, n long"
+
+
+def _count(counts: dict, page: str, groups: list[tuple[int, int]]) -> None:
+    """Adds a page to the counts of its groups (key and level: 0 host, else section or layout), of which the first is the host."""
+    root = parse(page)
+    if sum(1 for _ in root.walk()) > 1500:
+        return
+    whole, texts, elements = _size(root), {}, []
+    todo = [("", 0, root, False, False)]
+    while todo:
+        path, up, node, inside, linked = todo.pop()
+        if node.tag == "#":
+            if text := " ".join(node.text.split()):
+                old = texts.get(mark := _mark(path, text), (up, 0, 0))
+                texts[mark] = (up, old[1] + len(text), old[2] + len(text) * (not linked))
+            continue
+        if node is not root and _apart(node, inside, whole):
+            continue
+        path = f"{path}/{node.label()}"
+        key = _key(path)
+        elements.append((key, up, len(path) if node.tag in BLOCKS and node.tag != "p" else 0))
+        inside, linked = inside or node.tag in ("article", "main"), linked or node.tag == "a"
+        todo += [(path, key, c, inside, linked) for c in reversed(node.children)]
+    parents, plain = {key: up for key, up, _ in elements}, dict.fromkeys((key for key, _, _ in elements), 0)
+    for up, _, n in texts.values():
+        plain[up] += n
+    for key in reversed(parents):  # parents come before their children
+        if parents[key]:
+            plain[parents[key]] += plain[key]
+
+    def add(kind: int, g: int, m: int, up: int, deep: int, size: int, n: int) -> None:
+        old = counts.setdefault((kind, g, m), [up, deep, 0, 0, 0])
+        old[2:] = old[2] + size, old[3] + n, old[4] + 1
+
+    for g, level in groups:
+        add(0, g, 0, 0, level, sum(x[1] for x in texts.values()), sum(x[2] for x in texts.values()))
+        for mark, (up, size, n) in texts.items():
+            add(1, g, _within(g, mark), up, 0, size, n)
+    for key, up, deep in {x[0]: x for x in elements}.values():
+        add(2, groups[0][0], key, up, deep, 0, plain[key])
+
+
+def _main(elements: list[tuple[int, int, int, int]], constant: list[tuple[int, int]]) -> int | None:
+    """The key of the main place.  elements: m, up, deep, plain.  constant: up and plain of the template's texts."""
+    parents, slots = {m: up for m, up, _, _ in elements}, {m: n for m, _, _, n in elements}
+    for at, n in constant:
+        while at and n:
+            slots[at] -= n
+            at = parents[at]
+    usable = [(deep, m) for m, _, deep, _ in elements if deep and slots[m] > 0]
+    whole = max((slots[m] for _, m in usable), default=0)
+    return max(((deep, m) for deep, m in usable if slots[m] >= 0.7 * whole), default=(0, None))[1]
+
+
 def induce(pages: list[str]) -> dict:
-    """A wrapper: marks of the template's texts, and the path of the main place."""
-    trees = []
-    for p in sorted(set(pages)):
-        tree = parse(p)
-        if sum(1 for _ in tree.walk()) <= MOST_NODES:
-            trees.append(tree)
-    if len(trees) < LEAST:
-        return {}
-    first, times = trees[0], Counter()
-    texts = {id(n): (path, " ".join(n.text.split())) for path, n in first.walk() if n.tag == "#" and n.text.strip()}
-    for other in trees[1:]:
-        for x, y in match(first, other):
-            if id(x) in texts and " ".join(y.text.split()) == texts[id(x)][1]:
-                times[id(x)] += 1
-    constant = {k for k in texts if times[k] + 1 >= CONSTANT * len(trees)}
-    if len(constant) == len(texts):
-        return {}  # the pages differ in nothing that was aligned
-    slots: Counter = Counter()
-    for k, (path, text) in texts.items():
-        steps = path.split("/")
-        if k not in constant and not any(s.partition(".")[0] == "a" for s in steps):
-            for i in range(2, len(steps)):
-                slots["/".join(steps[:i])] += len(text)
-    usable = {path for path, n in _candidates(first) if n.tag in BLOCKS and n.tag != "p"}
-    whole = max((v for p, v in slots.items() if p in usable), default=0)
-    main = max((p for p in usable if slots[p] >= 0.7 * whole and slots[p]), key=len, default="")
-    return {"template": sorted(_mark(texts[k][0].rpartition("/")[0], texts[k][1]) for k in constant), "main": main}
+    """The wrapper of a host's pages: marks of the template's texts, and the path of the main place."""
+    pages, counts = sorted(set(pages)), {}
+    for p in pages:
+        _count(counts, p, [(0, 0)])
+    constant = {m: x for (kind, _, m), x in counts.items() if kind == 1 and x[4] >= CONSTANT * len(pages)}
+    if len(pages) < LEAST or sum(x[2] for x in constant.values()) == counts[0, 0, 0][2]:
+        return {}  # too few, or they differ in nothing
+    main = _main([(m, x[0], x[1], x[3]) for (kind, _, m), x in counts.items() if kind == 2], [(x[0], x[3]) for x in constant.values()])
+    return {"template": sorted(constant), "main": next((path for p in pages for path, _ in _candidates(parse(p)) if _key(path) == main), "")}
 
 
 def extract(page: str, wrapper: dict) -> str:
-    """The main text of a page: its blocks, an empty line between them."""
+    """The main text of a page: its blocks, an empty line between them.
+
+    wrapper: template, main (a path or its key), and the groups whose marks the template holds.
+    """
     if not page:
         return ""
     root = parse(page)
@@ -216,61 +284,107 @@ def extract(page: str, wrapper: dict) -> str:
         tops = [max(named, key=lambda x: _size(x[1]))] if named and max(_size(n) for _, n in named) > 0.3 * whole else []
     marked = bool(tops)
     if not tops and wrapper.get("main"):
-        tops, sizes = by(lambda p, n: p == wrapper["main"]), _plain(root)
+        main = _key(wrapper["main"]) if isinstance(wrapper["main"], str) else wrapper["main"]
+        tops, sizes = by(lambda p, n: _key(p) == main), _plain(root)
         largest = max(tops, key=lambda x: sizes[id(x[1])], default=None)
         if largest and sizes[id(largest[1])] >= 0.5 * sum(sizes[id(n)] for _, n in tops):
             tops = [largest]
     tops = tops or _densest(found) or found[:1]
-    template, out, inner = set(wrapper.get("template", ())), [], set()
+    template, groups, out, inner = set(wrapper.get("template", ())), wrapper.get("groups", (0,)), [], set()
+
+    def fixed(block: Block) -> bool:
+        marks = (_mark(*x) for x in block.texts)
+        return bool(template) and len(block.texts) == 1 and all(any(_within(g, m) in template for g in groups) for m in marks)
+
     for path, top in tops:
         if id(top) in inner:
             continue
         inner |= {id(n) for _, n in top.walk()}
         here = blocks(top, path, top.tag in ("article", "main"), whole)
         # where nothing marks the article, blocks that are all links are menus
-        out += [b.text for b in here if _mark(b.path, b.text) not in template and (marked or b.linked < 0.8 * len(b.text))]
+        out += [b.text for b in here if not fixed(b) and (marked or b.linked < 0.8 * len(b.text))]
     return "\n\n".join(out)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON) of the hosts that have one."""
-    keyed = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.md5(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")).alias("k"), F.col("html").cast("string").alias("html"))
-    distinct = cut(keyed.groupBy("host", "k").agg(F.count("*").alias("copies")), "hosts")
-    # a table of its own, so that the join can split a large host's partition
-    counts = cut(distinct.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST), "counts")
-    chosen = distinct.join(counts, "host").filter(F.pmod(F.xxhash64("k"), F.col("n")) < SAMPLE).select("host", "k")
-    chosen = cut(chosen, "chosen")
-    rows = chosen.count()
-    side = F.broadcast(chosen) if rows * 100 < BROADCAST_BYTES else chosen
-    sample = keyed.join(side, ["host", "k"]).dropDuplicates(["host", "k"])
+GROUPS = ["host", "section", "layout"]
+
+
+def grouped(pages: DataFrame) -> DataFrame:
+    """pages with html as text, and the keys of the groups each is in."""
+    html, host = F.coalesce(F.col("html").cast("string"), F.lit("")), host_of(F.col("url").cast("string"))
+    keys = [F.xxhash64(host), F.xxhash64(F.lit(1), host, section_of(F.col("url").cast("string"))), F.xxhash64(F.lit(2), host, layout_of(html))]
+    return pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), *(k.alias(name) for k, name in zip(keys, GROUPS, strict=True)))
 
-    def run(pdf):
+
+def wrappers(rows: DataFrame) -> DataFrame:
+    """host, section, layout, template and main of the groups of pages that have one."""
+    different = rows.groupBy("host", "layout", F.md5(F.col("html").cast("binary")).alias("k")).agg(F.collect_set("section").alias("sections"), F.first("html").alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, list] = {}
+        names = [x.split()[0] for x in ROWS.split(", ")]
+
+        def held() -> pa.RecordBatch:
+            columns = list(zip(*((*k, *v) for k, v in counts.items()), strict=True)) or [[]] * len(names)
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.int32()) for i, c in enumerate(columns)], names=names)
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                for host, layout, sections, page in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
+                    _count(counts, page, [(host, 0), (layout, 2), *((s, 1) for s in sections)])
+                    if len(counts) > HELD:
+                        yield held()
+        yield held()
+
+    counted = different.select("host", "layout", "sections", "html").mapInArrow(run, ROWS)
+    total = counted.groupBy("kind", "g", "m").agg(F.max("up").alias("up"), F.max("deep").alias("deep"), *(F.sum(c).alias(c) for c in ("size", "plain", "n")))
+    total = cut(total.filter((F.col("kind") != 1) | (F.col("n") >= LEAST)), "texts")
+    groups = total.filter((F.col("kind") == 0) & (F.col("n") >= LEAST)).select("g", F.col("deep").alias("level"), F.col("n").alias("pages"), F.col("size").alias("whole"))
+    constant = cut(total.filter("kind = 1").join(groups, "g").filter(F.col("n") >= CONSTANT * F.col("pages")), "constant")
+    fixed = constant.groupBy("g").agg(F.collect_list("m").alias("template"), F.sum("size").alias("fixed"))
+    found = groups.join(fixed, "g", "left").fillna(0, ["fixed"]).filter(F.when(F.col("level") == 0, F.col("fixed") < F.col("whole")).otherwise(2 * F.col("fixed") <= F.col("whole")))
+    found = cut(found.select("g", "level", F.coalesce("template", F.array().cast("array<long>")).alias("template")), "groups")
+
+    def place(pdf):
         import pandas as pd
 
-        found = induce(pdf["html"].tolist())
-        return pd.DataFrame({"host": pdf["host"][:1], "wrapper": [json.dumps(found)]}) if found else pd.DataFrame({"host": [], "wrapper": []}, dtype=str)
+        elements, texts = pdf[pdf["kind"] == 2], pdf[pdf["kind"] == 1]
+        main = _main(list(zip(*(elements[c].tolist() for c in ("m", "up", "deep", "plain")), strict=True)), list(zip(texts["up"].tolist(), texts["plain"].tolist(), strict=True)))
+        return pd.DataFrame({"g": pdf["g"][:1], "main": pd.array([main], "Int64")})
+
+    columns = ["g", "kind", "m", "up", "deep", "plain"]
+    hosts = found.filter("level = 0").select("g")
+    parts = total.filter("kind = 2").select(columns).unionByName(constant.filter("level = 0").select(columns)).join(hosts, "g", "left_semi")
+    mains = cut(parts.groupBy("g").applyInPandas(place, "g long, main long"), "mains")
 
-    return sample.select("host", "html").groupBy("host").applyInPandas(run, "host string, wrapper string")
+    met = rows.select(GROUPS).distinct()
+    for name in GROUPS:
+        met = met.join(found.select(F.col("g").alias(name), F.col("template").alias(f"of_{name}")), name, "left")
+    met = met.join(mains.withColumnRenamed("g", "host"), "host", "left")
+    template = F.concat(*(F.coalesce(f"of_{name}", F.array().cast("array<long>")) for name in GROUPS))
+    return met.select(*GROUPS, template.alias("template"), "main").filter((F.size("template") > 0) | F.col("main").isNotNull())
 
 
 def html_extraction(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    found = cut(wrappers(pages), "wrappers")
-    small = (found.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0) < BROADCAST_BYTES
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
-    rows = rows.join(F.broadcast(found) if small else found, "host", "left").select("page_id", "url", "html", "wrapper")
+    rows = grouped(pages)
+    found = cut(wrappers(rows), "wrappers")
+    small = (found.agg(F.sum(8 * F.size("template") + 40)).first()[0] or 0) < BROADCAST_BYTES
+    rows = rows.join(F.broadcast(found) if small else found, GROUPS, "left").select("page_id", "url", "html", *GROUPS, "template", "main")
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, dict] = {None: {}}
+        known: dict[tuple, dict] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 piece, texts = batch.slice(lo, 512), []
-                for page, wrapper in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True):
-                    if wrapper not in known:
-                        known = {None: {}} if len(known) > 1000 else known
-                        known[wrapper] = json.loads(wrapper)
-                    texts.append(extract(page, known[wrapper]))
+                for i, (page, *groups) in enumerate(zip(*(c.to_pylist() for c in piece.columns[2:6]), strict=True)):
+                    wrapper = known.get(key := tuple(groups))
+                    if wrapper is None:
+                        known = {} if len(known) > 1000 else known
+                        wrapper = known[key] = {"groups": key, "template": frozenset(piece.column(6)[i].as_py() or ()), "main": piece.column(7)[i].as_py()}
+                    texts.append(extract(page, wrapper))
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

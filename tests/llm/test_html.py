@@ -78,3 +78,28 @@ def test_articles_of_the_test_pages(spark):
         blocks = (" ".join(X.parse(re.sub(r"<(?:br|/?b)>", " ", b)).children[0].text.split()) if re.sub(r"<[^>]*>", "", b).strip() else "" for b in re.split(r"</?(?:h1|p)>", inner))
         wanted[r["page_id"]] = "\n\n".join(b for b in blocks if b)
     assert {r["page_id"]: r["text"] for r in X.html_extraction(pages).collect()} == wanted
+
+
+def sectioned(i, line, slot="div", section="a"):
+    return (f"https://one.example.com/{section}/{i}", f"<html><body><{slot} class=slot><p>Page {i} says {i * i} things of its own, at length.</p><p>{line}</p></{slot}></body></html>")
+
+
+def texts_of(spark, pages):
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in X.html_extraction(rows).orderBy("page_id").collect()]
+
+
+def test_every_page_counts_and_sections_have_templates(spark):
+    # the last section is 1 page in 20 of the host, so that a sample of ten would hold none or one of it
+    pages = [sectioned(i, f"A line {i} like no other") for i in range(190)] + [sectioned(i, "More of our weather", section="weather") for i in range(190, 200)]
+    found = texts_of(spark, pages)
+    assert found[3].endswith("A line 3 like no other")
+    assert [t for t in found if "weather" in t] == [] and all(f"Page {i} says" in t for i, t in enumerate(found))
+    # layouts of a section, too
+    pages = [(u, h.replace("class=slot", "class=gallery")) if i % 10 == 0 else (u, h) for i, (u, h) in enumerate(sectioned(i, "All our galleries" if i % 10 == 0 else f"A line {i}") for i in range(100))]
+    assert [t for t in texts_of(spark, pages) if "galleries" in t] == []
+
+
+def test_copies_of_an_article_are_no_section(spark):
+    pages = [sectioned(i, f"A line {i}") for i in range(30)] + [(f"https://one.example.com/b/{i}", f"<html><body><div class=slot><p>{'The same long article. ' * 9}</p><p>Seen {i} times</p></div></body></html>") for i in range(6)]
+    assert all("The same long article." in t for t in texts_of(spark, pages)[30:])
