@@ -103,3 +103,12 @@ def test_every_page_counts_and_sections_have_templates(spark):
 def test_copies_of_an_article_are_no_section(spark):
     pages = [sectioned(i, f"A line {i}") for i in range(30)] + [(f"https://one.example.com/b/{i}", f"<html><body><div class=slot><p>{'The same long article. ' * 9}</p><p>Seen {i} times</p></div></body></html>") for i in range(6)]
     assert all("The same long article." in t for t in texts_of(spark, pages)[30:])
+
+
+def test_large_pages_have_wrappers(spark):
+    pages = [sectioned(i, "Read more at our shop</p>\n" + "".join(f"<p>Number {i * 1000 + j}</p>\n" for j in range(900)) + "<p>Thanks for reading") for i in range(6)]
+    assert sum(1 for _ in parse(pages[0][1]).walk()) > 1500
+    wrapper = X.induce([html for _, html in pages])
+    assert wrapper["main"].endswith("div.slot")
+    for text in [X.extract(pages[1][1], wrapper), *texts_of(spark, pages)]:
+        assert "Number " in text and "shop" not in text and "Thanks" not in text
