@@ -292,7 +292,7 @@ def extract(page: str, wrapper: dict) -> str:
 
     def fixed(block: Block) -> bool:
         marks = (_mark(*x) for x in block.texts)
-        return bool(template) and len(block.texts) == 1 and all(any(_within(g, m) in template for g in groups) for m in marks)
+        return bool(template) and all(any(_within(g, m) in template for g in groups) for m in marks)
 
     for path, top in tops:
         if id(top) in inner:

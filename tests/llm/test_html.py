@@ -112,3 +112,10 @@ def test_large_pages_have_wrappers(spark):
     assert wrapper["main"].endswith("div.slot")
     for text in [X.extract(pages[1][1], wrapper), *texts_of(spark, pages)]:
         assert "Number " in text and "shop" not in text and "Thanks" not in text
+
+
+def test_template_lines_with_inline_markup():
+    line = "Read <em>more</em> at <a href=/s>our <b>shop</b></a></p><p><span>Thanks</span></p><p><b>Note</b> number"
+    pages = [sectioned(i, f"{line} {i}")[1] for i in range(8)]
+    text = X.extract(pages[3], X.induce(pages))
+    assert text == "Page 3 says 9 things of its own, at length.\n\nNote number 3"
