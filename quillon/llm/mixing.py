@@ -2,13 +2,16 @@
 
 A classifier fitted on a labelled table gives each document posteriors over the
 domains, so a document is partly of each.  Its rate r >= 0 says how often it is
-taken.  Rates minimise the squared gap between the expected domain token totals
-sum_d r_d tokens_d p_dk and their targets, from r = 1, by accelerated projected
-gradient steps (in the metric of the documents' tokens).
-
-A step moves r_d by -step * sum_k p_dk gap_k, so a rate is a function of the
-document's posteriors and of the gaps so far: a list of a few numbers per step.
-Each step is one distributed sum of K numbers over a table of posteriors; nothing
+taken.  Rates minimise the squared gaps between the expected domain token totals
+sum_d r_d tokens_d p_dk and their targets, each over the domain's present total or
+target (so that small domains are fitted as large ones are), and of such rates are those nearest
+to 1 (their distance counts ``NEAR`` times the gaps).  These are r_d = max(0, 1 - sum_k p_dk x_k) with one
+number x_k per domain, found by Newton steps on the dual, which is concave, with
+halved steps where a whole one doesn't ascend.  Steps end when every total is within ``CLOSE`` of
+its own target, or, where the targets can't be met, at the least squares; the log
+tells which totals the returned rates reach.
+
+Each step is one distributed sum of K (K + 1) + 1 numbers over a table of posteriors; nothing
 of a document is kept between steps, and the final rates are computed in the pass
 that reads the texts.  Tokens are white-space words.
 
@@ -24,8 +27,9 @@ empty table.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,8 @@ from quillon.llm import ftrl
 from quillon.llm import kernels as K
 from quillon.llm.shared import cut, drop
 
-FIT_ROWS, STEPS, CLOSE, SNAP = 3000, 40, 2e-3, 0.02
+FIT_ROWS, STEPS, CLOSE, NEAR, SNAP = 3000, 400, 2e-3, 1e-6, 0.02
+_log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -70,56 +75,59 @@ def fit_domains(docs: DataFrame, labels: DataFrame, names: list[str], fit_rows:
 
 @dataclass
 class Descent:
-    """The steps so far: gaps (in shares of all tokens) and momenta; any document's rate follows from them."""
+    """What a domain's share of a document takes from its rate; any document's rate follows from it."""
 
-    step: float
-    gaps: list[np.ndarray] = field(default_factory=list)
-    momenta: list[float] = field(default_factory=list)
+    less: np.ndarray
 
-    def rates(self, p: np.ndarray, ahead: float = 0.0) -> np.ndarray:
-        """After the last step; with ``ahead``, extrapolated as the next step starts from."""
-        before = now = np.ones(len(p))
-        for gap, momentum in zip(self.gaps, self.momenta, strict=True):
-            start = now + momentum * (now - before)
-            before, now = now, np.maximum(0, start - self.step * (p @ gap))
-        return now + ahead * (now - before)
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return np.maximum(0, 1 - p @ self.less)
 
 
 def solve(table: DataFrame, targets: np.ndarray, steps: int = STEPS) -> tuple[Descent, np.ndarray]:
     """table: tokens and p.  targets: token totals per domain.  Returns the descent and the totals it reaches."""
     n = len(targets)
 
-    def sums(f, width: int) -> np.ndarray:
+    def sums(less: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, their change with less, and the sum of tokens times squared rates."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width)
+            total = np.zeros(n * (n + 1) + 1)
             for batch in batches:
-                p = batch.column(1).flatten().to_numpy().reshape(-1, n)
-                total += f(batch.column(0).to_numpy().astype(float), p)
+                p, t = batch.column(1).flatten().to_numpy().reshape(-1, n), batch.column(0).to_numpy().astype(float)
+                r = Descent(less).rates(p)
+                total += np.concatenate([(r * t) @ p, ((p * (t * (r > 0))[:, None]).T @ p).ravel(), [(r * r * t).sum()]])
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["x"])
 
         found = table.select("tokens", "p").mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(width)
+        out = np.zeros(n * (n + 1) + 1)
         for r in found:
             out[r["i"]] = r["x"]
-        return out
-
-    gram = sums(lambda t, p: ((p * t[:, None]).T @ p).ravel(), n * n).reshape(n, n)
-    whole = max(gram.sum(), 1.0)
-    descent = Descent(1 / max(np.linalg.eigvalsh(gram / whole).max(), 1e-9))
-    t, totals = 1.0, np.zeros(n)
-    for _ in range(steps):
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        momentum = (t - 1) / after
-        totals = sums(lambda k, p: (descent.rates(p, momentum) * k) @ p, n)  # noqa: B023
-        gap = (totals - targets) / whole
-        if np.abs(gap).max() < CLOSE:  # stand where the momentum led
-            descent.gaps.append(np.zeros(n))
-            descent.momenta.append(momentum)
-            break
-        descent.gaps.append(gap)
-        descent.momenta.append(momentum)
-        t = after
-    return descent, sums(lambda k, p: (descent.rates(p) * k) @ p, n)
+        return out[:n], out[n:-1].reshape(n, n), out[-1]
+
+    less = np.zeros(n)
+    totals, slope, squares = sums(less)
+    scale = np.maximum(np.maximum(totals, targets), 1e-12 * max(totals.sum(), 1.0))
+    root = np.sqrt(scale)
+
+    def rises(less: np.ndarray, totals: np.ndarray, squares: float) -> tuple[float, np.ndarray]:
+        """The dual and its gradient."""
+        return -squares / 2 - less @ targets - NEAR * (scale * less * less).sum() / 2, totals - targets - NEAR * scale * less
+
+    met = lambda: bool((np.abs(totals - targets) <= CLOSE * targets).all())
+    taken, height = 0, rises(less, totals, squares)
+    while taken < steps and not met() and (np.abs(height[1]) > 1e-6 * scale).any():
+        way = np.linalg.solve(slope / np.outer(root, root) + NEAR * np.eye(n), height[1] / root) / root
+        part = 1.0
+        while True:
+            taken += 1
+            totals, slope, squares = sums(less + part * way)
+            higher = rises(less + part * way, totals, squares)
+            if higher[0] >= height[0] + 1e-4 * part * (height[1] @ way) - 1e-12 * abs(height[0]) or part < 1e-9:
+                break
+            part /= 2
+        less, height = less + part * way, higher
+    _log.log(logging.INFO if met() else logging.WARNING, "mixing: %d steps reach token totals %s of targets %s", taken, totals.round(1).tolist(), targets.round(1).tolist())
+    return Descent(less), totals
 
 
 def posteriors(docs: DataFrame, domains: Domains) -> DataFrame:

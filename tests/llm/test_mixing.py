@@ -69,3 +69,21 @@ def test_odd_tables(spark, documents, prose):
 def test_label_domains(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 1), (4, None, None), (5, 0, 0)], "doc_id long, quality int, toxic int")
     assert [r["domain"] for r in M.label_domains(labels).orderBy("doc_id").collect()] == ["clean", "junk", "toxic", None, "junk"]
+
+
+def test_small_domains_meet_their_targets(spark):
+    p = np.array([[1 - 2e-4, 1e-4, 1e-4]] * 1900 + [[0.02, 0.01, 0.97]] * 97 + [[0.02, 0.97, 0.01]] * 3)  # toxic: 0.15 % of the tokens
+    table = cut(spark.createDataFrame([(50, x.tolist()) for x in p], "tokens long, p array<double>"))
+    wanted = 50 * p.sum(axis=0) * [1.0, 0.25 + 0.0625, 1.0]
+    descent, reached = M.solve(table, wanted)
+    assert np.allclose(reached, wanted, rtol=M.CLOSE * 1.01) and np.allclose(50 * descent.rates(p) @ p, reached)
+    assert descent.rates(p)[-1] < 0.35 and np.abs(descent.rates(p)[:1900] - 1).max() < 0.01
+
+
+def test_targets_out_of_reach_end(spark):
+    p = np.array([[0.9, 0.1]] * 50 + [[0.6, 0.4]] * 50)
+    table = cut(spark.createDataFrame([(10, x.tolist()) for x in p], "tokens long, p array<double>"))
+    descent, reached = M.solve(table, np.array([100.0, 900.0]))
+    gap = p @ ((reached - [100, 900]) / np.maximum(10 * p.sum(axis=0), [100, 900]))
+    rates = descent.rates(p)
+    assert np.abs(gap[rates > 1e-3]).max() < 1e-2 and gap[rates <= 1e-3].min() > -1e-2
