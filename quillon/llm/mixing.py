@@ -16,7 +16,7 @@ of a document is kept between steps, and the final rates are computed in the pas
 that reads the texts.  Tokens are white-space words.
 
 Copies are the whole part of rate plus a hashed uniform number, so totals match in
-expectation; rates within ``SNAP`` of a whole number count as that number.
+expectation; rates stay as fitted, but for rounding (``ROUNDING``) at whole numbers.
 
 Edge cases: null and empty texts have no tokens, and the rate of their posteriors;
 domains that no label has keep a total of zero; without labels all domains are equally
@@ -40,7 +40,7 @@ from quillon.llm import ftrl
 from quillon.llm import kernels as K
 from quillon.llm.shared import cut, drop
 
-FIT_ROWS, STEPS, CLOSE, NEAR, SNAP = 3000, 400, 2e-3, 1e-6, 0.02
+FIT_ROWS, STEPS, CLOSE, NEAR, ROUNDING = 3000, 400, 2e-3, 1e-6, 1e-9
 _log = logging.getLogger(__name__)
 
 
@@ -165,7 +165,7 @@ def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_ro
                 p, n = domains.posteriors(part)
                 rate = descent.rates(p)
                 near = np.round(rate)
-                rate = np.where(np.abs(rate - near) <= SNAP, near, rate)
+                rate = np.where(np.abs(rate - near) <= ROUNDING, near, rate)
                 ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * p.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.first, len(part)), batch.column(1).slice(part.first, len(part)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(p.ravel())), pa.array(rate)],

@@ -87,3 +87,12 @@ def test_targets_out_of_reach_end(spark):
     gap = p @ ((reached - [100, 900]) / np.maximum(10 * p.sum(axis=0), [100, 900]))
     rates = descent.rates(p)
     assert np.abs(gap[rates > 1e-3]).max() < 1e-2 and gap[rates <= 1e-3].min() > -1e-2
+
+
+def test_rates_stay_as_fitted(sourced):
+    docs, labels = sourced
+    targets = {"clean": 1.01, "toxic": 0.1, "junk": 0.1}
+    rows = M.mix(docs, labels, targets, relative=True).toPandas()
+    tokens, p, rate = rows["tokens"].to_numpy(), np.array(rows["p"].tolist()), rows["rate"].to_numpy()
+    reached = (tokens * rate) @ p / (tokens @ p)
+    assert np.allclose(reached, list(targets.values()), rtol=M.CLOSE * 1.01)
