@@ -3,14 +3,15 @@
 Documents and license templates are cut into words.  Every window of three words
 of a document is hashed and joined to the template places with the same hash;
 each match votes for the diagonal document place minus template place.  Votes of
-neighbouring diagonals (a word more or less in between) are merged, and a span
+neighbouring diagonals (a word more or less in between) are merged, as are chains of votes
+in the template's order between which at most ``GAP`` of its length was inserted or left out, and a span
 counts when its votes cover enough of the template.  Phrases (short templates)
 need all their votes on one diagonal, which is the same as their words standing
 consecutively.
 
 Scale: one pass over the texts; windows that no template has are dropped before
 the join by a search in the template hashes, so what is joined are matches.  The
-template side is a constant of this module and is broadcast.  The join compares
+template side is a constant of this module and is broadcast; votes are written as a table, which spans and chains read.  The join compares
 the window's words as well as its hash.
 
 Edge cases: null and empty texts have no words, places or labels and score 0;
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import kernels as K
+from quillon.llm.shared import cut
 
 #: Phrases whose every place counts, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -54,7 +56,7 @@ TEMPLATES = {
     "cc-by": ("creative commons attribution 4 0 international license",),
 }
 
-GRAM, DRIFT, COVERED = 3, 2, 0.7
+GRAM, DRIFT, COVERED, GAP = 3, 2, 0.7, 0.4
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -101,6 +103,41 @@ def matches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def chained(votes: list[tuple[int, int]], windows: int) -> int:
+    """The most places of a template, in order, that a chain of votes (place, t_place) covers.
+
+    From a vote to the next the diagonal may move by ``GAP`` of the template's length (inserted or left out
+    words), and a chain spans at most twice the template.
+    """
+    gap = max(DRIFT, int(np.ceil(GAP * windows)))
+    ends: list[tuple[int, int, int, int]] = []  # place, t_place, votes so far, first place
+    best, low = 0, 0
+    for place, t in sorted(set(votes)):
+        while low < len(ends) and ends[low][0] < place - windows - gap:
+            low += 1
+        n, first = 1, place
+        for x, u, m, start in ends[low:]:
+            if x < place and u < t and abs((place - t) - (x - u)) <= gap and place - start <= 2 * windows and (m + 1, start) > (n, first):
+                n, first = m + 1, start
+        ends.append((place, t, n, first))
+        best = max(best, n)
+    return best
+
+
+def chains(votes: DataFrame) -> DataFrame:
+    """The share that the best chain covers, of every row and template with enough votes, as spans without a diagonal."""
+    keys = ["row", "doc_id", "n_words", "template", "phrase", "label", "windows"]
+    held = votes.filter("not phrase").groupBy(keys).agg(F.collect_list("place").alias("places"), F.collect_list("t_place").alias("t_places")).filter(F.size("places") >= COVERED * F.col("windows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in (6, 7, 8)), strict=True)
+            share = [chained(list(zip(places, t_places, strict=True)), windows) / windows for windows, places, t_places in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.nulls(batch.num_rows, pa.int64()), pa.array(share, pa.float64())], names=[*keys, "diagonal", "share"])
+
+    return held.mapInArrow(run, "row long, doc_id long, n_words long, template int, phrase boolean, label string, windows int, diagonal long, share double")
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: places of the phrases, labels, and the largest share of a template that a span covers."""
     spark = docs.sparkSession
@@ -109,10 +146,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
     rows = matches(docs).withColumn("row", F.monotonically_increasing_id())
     votes = rows.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "n_words", "hit.*")
     votes = votes.join(F.broadcast(templates), ["hash", "window"], "left")
+    votes = cut(votes.select("row", "doc_id", "n_words", "template", "phrase", "label", "windows", "place", "t_place"), "votes")
+    chain = chains(votes)
     # a vote for a template counts for the neighbouring diagonals too
     near = F.when(F.col("phrase"), F.array(F.lit(0))).when(F.col("template").isNotNull(), F.sequence(F.lit(-DRIFT), F.lit(DRIFT))).otherwise(F.array(F.lit(0)))
     votes = votes.withColumn("near", F.explode(near)).withColumn("diagonal", F.col("place") - F.col("t_place") + F.col("near"))
     spans = votes.groupBy("row", "doc_id", "n_words", "template", "phrase", "label", "windows", "diagonal").agg((F.countDistinct("t_place") / F.col("windows")).alias("share"))
+    spans = spans.unionByName(chain)
     base, covered = F.col("phrase") & (F.col("share") == 1), ~F.col("phrase") & (F.col("share") >= COVERED)
     found = spans.groupBy("row", "doc_id", "n_words").agg(
         F.count(F.when(base, 1)).alias("n_base"),

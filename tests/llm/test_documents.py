@@ -140,6 +140,18 @@ def test_templates_with_words_changed(spark, documents, prose):
     assert rows[2]["labels"] == rows[3]["labels"] == "" and rows[2]["n_base"] == 0
 
 
+@pytest.mark.parametrize("more", [5, 8, 10])
+def test_templates_with_words_between(spark, documents, prose, more):
+    mit, gpl = licenses.TEMPLATES["mit"][0].split(), licenses.TEMPLATES["gpl-3"][1].split()
+    line = prose(more, 5).split()
+    marked = [w for i in range(0, len(gpl), 9) for w in ["dnl", *gpl[i : i + 9]]]
+    apart = [*mit[:14], *prose(60, 6).split(), *mit[14:]]
+    texts = [" ".join([*mit[:14], *line, *mit[14:]]), prose(20, 3) + " " + " ".join(marked), " ".join(apart), " ".join([*mit[14:], *line, *mit[:14]])]
+    rows = {r["doc_id"]: r for r in licenses.license_scan(documents(texts)).collect()}
+    assert [rows[i]["labels"] for i in range(4)] == ["mit", "gpl-3", "", ""]
+    assert rows[0]["score"] == 1 - 2 / (len(mit) - 2)
+
+
 def test_repeated_rows_and_empty_tables(spark, documents):
     assert licenses.license_scan(documents([])).count() == 0
     assert licenses.license_scan(documents(["cc by nc"] * 3 + [None], [1, 1, None, None])).count() == 4
