@@ -17,7 +17,6 @@ SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93  # odd, so that its powers have inverses modulo 2^64
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 #: Bytes that separate words: space, and \x09 to \x0D.
 SPACE = np.zeros(256, bool)
@@ -43,20 +42,46 @@ def seeds(n: int, salt: int) -> np.ndarray:
 
 
 _BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
-_POWERS: dict[int, np.ndarray] = {}
+_PRIME = U64((1 << 31) - 1)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 2 * SLICE_BYTES + 1)
-        with np.errstate(over="ignore"):
-            have = np.full(size, base, U64)
-            have[0] = 1
-            have = np.multiply.accumulate(have)
-        if size <= 4 * SLICE_BYTES:
-            _POWERS[base] = have
-    return have[:n]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1, but for at most one such step too many."""
+    return (x & _PRIME) + (x >> U64(31))
+
+
+class _Lane:
+    """One polynomial hash modulo the prime 2^31 - 1, where runs of equal structure don't cancel as they do modulo 2^64."""
+
+    def __init__(self, salt: int):
+        self.code = mix(_BYTE_CODE ^ U64(salt)) % _PRIME
+        self.base = int(mix(np.array([salt], U64))[0] % _PRIME)
+        self.known: dict[int, np.ndarray] = {}
+
+    def _powers(self, base: int, n: int) -> np.ndarray:
+        have = self.known.get(base)
+        if have is None or len(have) < n:
+            size, prime = max(n, 2 * SLICE_BYTES + 1), int(_PRIME)
+            have, done, step = np.ones(size, U64), 1, base
+            while done < size:  # doubling: the next powers are those so far, times base^done
+                more = min(done, size - done)
+                have[done : done + more] = have[:more] * U64(step) % _PRIME
+                done, step = 2 * done, step * step % prime
+            if size <= 4 * SLICE_BYTES:
+                self.known[base] = have
+        return have[:n]
+
+    def sums(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the terms, each under 2^33, and the powers that undo a start's place."""
+        n = len(data)
+        out = np.zeros(n + 1, U64)
+        terms = self.code[data]
+        terms *= self._powers(self.base, n)
+        np.cumsum(_fold(terms), out=out[1:])
+        return out, self._powers(pow(self.base, -1, int(_PRIME)), n + 1)
+
+
+_LANES = (_Lane(_STEP), _Lane(_BASE))
 
 
 @dataclass
@@ -94,19 +119,62 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
 
 
 class Prefix:
-    """Polynomial hashes of any byte range of an array, in constant time each."""
+    """Hashes of any byte range of an array, in constant time each: two polynomials modulo 2^31 - 1 and the length."""
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
+        self.lanes = [lane.sums(data) for lane in _LANES]
+
+    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        values = []
+        for sums, back in self.lanes:
+            h = _fold(_fold(sums[ends] - sums[starts]))
+            h *= back[starts]
+            h = _fold(_fold(h))
+            values.append(h - _PRIME * (h >= _PRIME))
+        with np.errstate(over="ignore"):
+            return mix((values[0] << U64(31) | values[1]) ^ ((ends - starts).astype(U64) * U64(_STEP)))
+
+
+class Rolling:
+    """A quicker hash of ranges (a polynomial modulo 2^64), for choosing among them only: equal bytes hash alike, and others may too."""
+
+    _POWERS: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def _powers(cls, base: int, n: int) -> np.ndarray:
+        have = cls._POWERS.get(base)
+        if have is None or len(have) < n:
+            size = max(n, 2 * SLICE_BYTES + 1)
+            with np.errstate(over="ignore"):
+                have = np.full(size, base, U64)
+                have[0] = 1
+                have = np.multiply.accumulate(have)
+            if size <= 4 * SLICE_BYTES:
+                cls._POWERS[base] = have
+        return have[:n]
+
+    def __init__(self, data: np.ndarray):
+        self.sums = np.zeros(len(data) + 1, U64)
         with np.errstate(over="ignore"):
-            self.sums = np.zeros(n + 1, U64)
-            np.cumsum(_BYTE_CODE[data] * _powers(_BASE, n), out=self.sums[1:])
-        self.back = _powers(_INVERSE, n + 1)
+            np.cumsum(_BYTE_CODE[data] * self._powers(_BASE, len(data)), out=self.sums[1:])
+        self.back = self._powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            h = (self.sums[ends] - self.sums[starts]) * self.back[starts]
-            return mix(h ^ ((ends - starts).astype(U64) * U64(_STEP)))
+            h = self.sums[ends] - self.sums[starts]
+            h *= self.back[starts]
+            h ^= h >> U64(32)
+            h *= U64(_STEP)
+        return h
+
+    def windows(self, size: int) -> np.ndarray:
+        """ranges of every window of so many bytes."""
+        with np.errstate(over="ignore"):
+            h = self.sums[size:] - self.sums[:-size]
+            h *= self.back[: len(h)]
+            h ^= h >> U64(32)
+            h *= U64(_STEP)
+        return h
 
 
 @dataclass

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -28,6 +29,30 @@ def test_equal_words_have_equal_hashes_wherever_they_stand():
     assert w.hash[0] == w.hash[2] == w.hash[4] != w.hash[1] == w.hash[3]
 
 
+@pytest.mark.parametrize("size", [1024, 2048, 4096, 8192])
+def test_complementary_words_of_equal_structure_differ(size):
+    bits = "a"
+    while len(bits) < size:
+        bits += bits.translate(str.maketrans("ab", "ba"))
+    (part,) = K.slices(pa.array([f"{bits} {bits.translate(str.maketrans('ab', 'ba'))} {bits}"]))
+    h = K.words(part).hash
+    assert h[0] == h[2] != h[1]
+
+
+@settings(max_examples=50, deadline=None, derandomize=True)
+@given(data=st.binary(min_size=1, max_size=60))
+def test_ranges_hash_alike_just_where_their_bytes_are_equal(data):
+    raw = np.frombuffer(data + data, np.uint8)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(raw) + 1), np.arange(len(raw) + 1)))
+    a, b = a[a <= b], b[a <= b]
+    for kind in (K.Prefix, K.Rolling):
+        h = kind(raw).ranges(a, b)
+        found: dict = {}
+        for x, y, v in zip(a.tolist(), b.tolist(), h.tolist(), strict=True):
+            assert found.setdefault(raw[x:y].tobytes(), v) == v
+        assert kind is K.Rolling or len(set(found.values())) == len(found)
+
+
 def test_slices_of_a_sliced_column():
     column = pa.array(["x", "one two", None, "three"]).slice(1)
     assert [p.text(i) for p in K.slices(column, 3) for i in range(len(p))] == [b"one two", b"", b"three"]
