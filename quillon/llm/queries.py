@@ -27,7 +27,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.suffix_dedup import suffix_dedup
 
     found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,18 @@ equal strings of 400 bytes have the same least 32-byte gram at the same place (t
 *anchor*), so they meet when strings are grouped by their anchor's hash.
 1. Each text is cut into excerpts: the bytes of all strings with the same anchor
    (a hundred or two starts, and the 399 bytes behind).  Only hashes leave the task.
-2. Equal excerpts of an anchor are one, with their number and first place; anchors
-   that occur once are done with: none of their strings occurs elsewhere.
-3. The bytes of what is left are fetched, and suffix arrays built over the excerpts
-   of many anchors at a time.  In suffix order, ties in text order, the previous and
-   the next smaller places give the longest previous factor of each start
-   (an earlier match), and their mirror images a later match.
-4. Starts with a match of 400 bytes cover what is removed: with ``keep_first``
-   those that match earlier text, which keeps the first copy; else those that match any.
+2. Equal excerpts of an anchor are one, with their number and first place.  Excerpts
+   that have no other of their anchor with the same 184 bytes before it, or after it, are
+   done with: none of their strings occurs in another, since each has one of the two.
+3. The bytes of what is left are fetched, and suffix arrays with the common prefixes of
+   neighbours built over the excerpts of many anchors at a time.  In suffix order, ties in
+   text order, the previous and the next smaller places give the longest previous factor
+   (the longest match with earlier text) of each start, and the previous and next greater
+   places the longest match with later text.
+4. Starts with a factor of 400 bytes cover what is removed: with ``keep_first``
+   those with a previous factor, which keeps the first copy; else those with any.
+Copies of an excerpt beyond its first have their first as previous factor, so only
+the first is in a suffix array.
 
 Text order is (doc_id, place), null ids first.  An anchor with more than ``HOT``
 different excerpts (a passage that very many texts share) is cut further
@@ -26,7 +30,8 @@ to adaptive skew handling.
 Edge cases: null counts as empty; texts under 400 bytes are never touched; matches
 never cross texts; rows with equal id and text are one text in text order (all of them or none
 keep a string); a character of which only some bytes are removed goes from ``text``
-whole; other columns are kept as they are; an empty table gives an empty table.
+whole; a run of one character or a short period is one entry, since its excerpts recur within
+400 bytes; other columns are kept as they are; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,12 +48,16 @@ from quillon.llm.groups import runs
 from quillon.llm.shared import cut
 
 LENGTH, GRAM = 400, 32
-HOT, BATCH_BYTES, SHRINK = 1024, 1 << 19, 8
+HOT, BATCH_BYTES, SHRINK = 1024, 1 << 16, 8
 
 
 def anchors(part: K.Slice, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, first and last start, anchor place and hash, and hash of the excerpt, of each run of
-    starts whose strings have the same anchor: the least gram of the string.
+    """Row, first and last start, anchor place and hash, hash of the excerpt, and hashes of what stands before and after the anchor, of each run of
+    starts whose strings have the same anchor: the least gram of the string.  Grams are
+    compared by a quick hash, since any choice that follows from the bytes will do.
+
+    A string has half of what it is longer than its anchor before the anchor or after it, so equal
+    ones agree in that; it is 0 where no string of the run has it.
 
     Equal strings have their anchors at the same place within them.  A string of
     ``length`` bytes has ``length - gram + 1`` grams, so a text has about two
@@ -57,10 +66,9 @@ def anchors(part: K.Slice, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     n, w = len(part.data), length - gram + 1
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty, empty, empty, empty, empty.astype(K.U64), empty.astype(K.U64)
-    prefix = K.Prefix(part.data)
+        return empty, empty, empty, empty, *(empty.astype(K.U64),) * 4
     at = np.arange(n - gram + 1)
-    h = prefix.ranges(at, at + gram)
+    h = K.Rolling(part.data).windows(gram)
     packed = (h & ~K.U64((1 << 28) - 1)) | at.astype(K.U64)  # ties go to the leftmost
     rows = -(-len(packed) // w)
     table = np.full((rows + 1) * w, np.iinfo(np.uint64).max, K.U64)
@@ -75,19 +83,44 @@ def anchors(part: K.Slice, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     inside = np.arange(starts) + length <= part.ends[row]
     p = np.flatnonzero(inside)
     if not len(p):
-        return empty, empty, empty, empty, empty.astype(K.U64), empty.astype(K.U64)
+        return empty, empty, empty, empty, *(empty.astype(K.U64),) * 4
     new = np.flatnonzero(np.append(True, (place[p][1:] != place[p][:-1]) | (p[1:] != p[:-1] + 1) | (row[p][1:] != row[p][:-1])))
     first, last = p[new], p[np.append(new[1:], len(p)) - 1]
     which = row[first]
     base = part.starts[which]
-    return which, first - base, last - base, place[first] - base, h[place[first]], prefix.ranges(first, last + length)
+    prefix, anchor, half = K.Prefix(part.data), place[first], (length - gram) // 2
+    before, after = np.zeros(len(first), K.U64), np.zeros(len(first), K.U64)
+    i = np.flatnonzero(anchor - first >= half)
+    before[i] = prefix.ranges(anchor[i] - half, anchor[i]) >> K.U64(33) | K.U64(1)
+    i = np.flatnonzero(length - gram - (anchor - last) >= half)
+    after[i] = prefix.ranges(anchor[i] + gram, anchor[i] + gram + half) >> K.U64(33) | K.U64(1)
+    return which, first - base, last - base, anchor - base, prefix.ranges(anchor, anchor + gram), prefix.ranges(first, last + length), before, after
+
+
+def entries(row: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, h: np.ndarray, x: np.ndarray, before: np.ndarray, after: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Row, h, x, s, m, o, second, final, times, before and after: equal excerpts of a row that follow within ``length`` bytes are one entry.
+
+    s, second and final: where the first, second and last of them start (their strings cover all between);
+    m: starts of an excerpt; o: how far the anchor lies behind its first start.
+    """
+    order = np.lexsort((first, x, h, row))
+    r, a, k, z = row[order], first[order], h[order], x[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1]) | (z[1:] != z[:-1]) | (a[1:] - a[:-1] > length)
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(r)))
+    one = order[at]
+    return r[at], k[at], z[at], a[at], (last - first + 1)[one], (place - first)[one], a[np.minimum(at + 1, at + times - 1)], a[at + times - 1], times, before[one], after[one]
 
 
 # --- suffix arrays --------------------------------------------------------------
 
 
-def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Places of the starts among all, by their first ``length`` bytes; equal ones share a rank.  Prefix doubling."""
+def suffix_array(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the starts in order of their first ``length`` bytes, ties in text order, and how many bytes each has in common with the one before it (at most ``length``).
+
+    Prefix doubling; the ranks of all depths, kept, then give the common prefixes.
+    """
     n = len(data)
     wide = np.zeros(n + length + 8, np.uint64)
     wide[:n] = data
@@ -95,26 +128,52 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     for j in range(8):
         word |= wide[j : j + n + length] << K.U64(56 - 8 * j)
     rank, depth = np.unique(word, return_inverse=True)[1].astype(np.uint64), 8
+    levels = [(depth, rank.astype(np.uint32))]
     while 2 * depth <= length:
         ahead = np.zeros_like(rank)
         ahead[: len(rank) - depth] = rank[depth:]
         rank = np.unique(rank << K.U64(32) | ahead, return_inverse=True)[1].astype(np.uint64)
         depth *= 2
-    return np.unique(rank[starts] << K.U64(32) | rank[starts + length - depth], return_inverse=True)[1]
+        levels.append((depth, rank.astype(np.uint32)))
+    key = rank[starts] << K.U64(32) | rank[starts + length - depth]
+    order = np.argsort(key, kind="stable")
+    lcp = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        key, at = key[order], starts[order]
+        lcp[1:][key[1:] == key[:-1]] = length
+        todo = np.flatnonzero(key[1:] != key[:-1]) + 1
+        a, b, same = at[todo - 1], at[todo], np.zeros(len(todo), np.int64)
+        for depth, rank in reversed(levels):
+            same += depth * ((rank[a + same] == rank[b + same]) & (same + depth <= length))
+        rest = word[a + same] ^ word[b + same]
+        lcp[todo] = np.minimum(same + sum((rest < K.U64(1 << 8 * j)).astype(np.int64) for j in range(1, 8)), length - 1)
+    return order, lcp
+
+
+def previous_smaller(values: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Per place the common prefix with the nearest place before it of a smaller value: the least lcp on the way there, 0 without one.
+
+    All places look at once, each going from a place that is too great on to where that one looked.
+    """
+    near, least = np.arange(len(values)) - 1, lcp.copy()
+    todo = np.arange(1, len(values))
+    while len(todo := todo[near[todo] >= 0]) and len(todo := todo[values[near[todo]] > values[todo]]):
+        past = near[todo]
+        near[todo], least[todo] = near[past], np.minimum(least[todo], least[past])
+    least[near < 0] = 0
+    return least
 
 
-def factors(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of starts in text order: whether each has an earlier match of full length, and a later one.
+def factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of starts in text order: the longest previous factor (the most bytes in common with an earlier start), and the longest following one.
 
-    In suffix order with ties in text order, the previous smaller place of a start is the
-    one before it where their common prefix is full, and else one whose prefix is shorter;
-    so its longest previous factor is full just if that neighbour's rank is its own.
+    In suffix order the earlier starts with most in common are the nearest ones on either side: the
+    previous and the next smaller place.  The later ones are the greater places.
     """
-    order = np.argsort(rank, kind="stable")
-    same = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    earlier[order[1:][same]] = True
-    later[order[:-1][same]] = True
+    back = np.append(0, lcp[:0:-1])
+    earlier, later = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    earlier[order] = np.maximum(previous_smaller(order, lcp), previous_smaller(order[::-1], back)[::-1])
+    later[order] = np.maximum(previous_smaller(-order, lcp), previous_smaller(-order[::-1], back)[::-1])
     return earlier, later
 
 
@@ -140,7 +199,7 @@ def _matched(excerpts: DataFrame, length: int) -> DataFrame:
         base = np.cumsum([0, *map(len, texts)])[:-1]
         ends = np.cumsum(m)
         starts = np.repeat(base - np.concatenate([[0], ends[:-1]]), m) + np.arange(ends[-1])
-        earlier, later = factors(suffix_ranks(data, starts, length))
+        earlier, later = (f >= length for f in factors(*suffix_array(data, starts, length)))
         some = [[], []]
         for lo, hi, times in zip((ends - m).tolist(), ends.tolist(), n.tolist(), strict=True):
             some[0].append([0, hi - lo - 1] if times > 1 else _ranges(earlier[lo:hi] | later[lo:hi]))
@@ -227,21 +286,21 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, key and the anchors of each text: (h, x, s, m, o), o: how far the anchor lies behind the first start."""
-    kind = pa.struct([("h", pa.int64()), ("x", pa.int64()), ("s", pa.int32()), ("m", pa.int32()), ("o", pa.int32())])
+    """doc_id, key and the entries of each text."""
+    kind = pa.struct([("h", pa.int64()), ("x", pa.int64()), *((c, pa.int32()) for c in ("s", "m", "o", "second", "final", "times", "before", "after"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch.column(2)):
-                row, first, last, place, h, x = anchors(part, length)
+                row, h, x, *places = entries(*anchors(part, length), length=length)
                 ends = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
-                fields = [pa.array(h.astype(np.int64)), pa.array(x.astype(np.int64)), *(pa.array(v.astype(np.int32)) for v in (first, last - first + 1, place - first))]
+                fields = [pa.array(h.astype(np.int64)), pa.array(x.astype(np.int64)), *(pa.array(v.astype(np.int32)) for v in places)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.first, len(part)), batch.column(1).slice(part.first, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, fields=list(kind)))],
                     names=["doc_id", "key", "at"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, key binary, at array<struct<h: long, x: long, s: int, m: int, o: int>>").filter(F.size("at") > 0)
+    return _keyed(docs).mapInArrow(run, "doc_id long, key binary, at array<struct<h: long, x: long, s: int, m: int, o: int, second: int, final: int, times: int, before: int, after: int>>").filter(F.size("at") > 0)
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -268,22 +327,31 @@ def repeated_spans(docs: DataFrame, keep_first: bool = True, length: int = LENGT
     """(doc_id, key, spans) of the texts of which something is removed; spans: pairs of byte places, unmerged."""
     found = cut(_anchors(docs, length), "anchors")
     places = found.select("doc_id", "key", F.inline("at"))
-    excerpts = places.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "s")).alias("first"), F.first("m").alias("m"), F.first("o").alias("o"))
-    excerpts = cut(excerpts, "excerpts")
+    same = [F.first(c).alias(c) for c in ("m", "o", "before", "after")]
+    excerpts = cut(places.groupBy("h", "x").agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "key", "s")).alias("first"), *same), "excerpts")
     groups = cut(excerpts.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("total")).filter("total > 1").select("h", "c"), "groups")
     again = cut(excerpts.join(groups, "h"), "repeated")
-    bytes_ = _fetched(docs, again.filter("c > 1").drop("c"), length).dropDuplicates(["h", "x"])
+    sides = again.filter("c > 1").select("h", "x", F.explode(F.array("before", F.negative("after"))).alias("side")).filter("side <> 0")
+    shared = cut(sides.groupBy("h", "side").agg(F.count("*").alias("k")).filter("k > 1").select("h", "side"), "sides")
+    partnered = cut(sides.join(shared, ["h", "side"]).select("h", "x").distinct(), "partnered")
+    bytes_ = _fetched(docs, again.drop("c", "before", "after").join(partnered, ["h", "x"]), length).dropDuplicates(["h", "x"])
     solved = _resolved(cut(bytes_, "bytes"), length, hot)
-    alone = again.filter("c = 1").select("h", "x", F.array(F.lit(0), F.col("m") - 1).alias("any"), F.array().cast("array<int>").alias("earlier"))
+    alone = again.filter("n > 1").join(partnered, ["h", "x"], "left_anti").select("h", "x", F.array(F.lit(0), F.col("m") - 1).alias("any"), F.array().cast("array<int>").alias("earlier"))
     ranges = cut(solved.unionByName(alone).filter(F.size("any") > 0), "ranges")
     if keep_first:
         ranges = ranges.join(again.select("h", "x", "first"), ["h", "x"])
     here = places.join(ranges, ["h", "x"])
-    which = F.col("any")
+    which, more = F.col("any"), F.array().cast("array<struct<a: int, b: int>>")
     if keep_first:
-        which = F.when(F.struct("doc_id", "key", "s") == F.col("first"), F.col("earlier")).otherwise(F.array(F.lit(0), F.col("m") - 1))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("r") - 1, F.lit(2)), lambda i: F.struct((F.col("s") + F.col("r")[i]).alias("a"), (F.col("s") + F.col("r")[i + 1] + length).alias("b")))
-    spans = here.withColumn("r", which).filter(F.size("r") > 0).select("doc_id", "key", pairs.alias("spans"))
+        kept = F.struct("doc_id", "key", "s") == F.col("first")
+        which = F.when(kept, F.col("earlier")).otherwise(F.array(F.lit(0), F.col("m") - 1))
+        later = F.struct(F.col("second").alias("a"), (F.col("final") + F.col("m") - 1 + length).alias("b"))
+        more = F.when(kept & (F.col("times") > 1), F.array(later)).otherwise(more)
+    # an excerpt that recurs matches as a whole, and what its places cover is one run
+    end = F.when(kept, F.col("s")).otherwise(F.col("final")) if keep_first else F.col("final")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("r") - 2, F.lit(2)), lambda i: F.struct((F.col("s") + F.col("r")[i]).alias("a"), (end + F.col("r")[i + 1] + length).alias("b")))
+    pairs = F.when(F.size("r") > 0, pairs).otherwise(F.array().cast("array<struct<a: int, b: int>>"))
+    spans = here.withColumn("r", which).select("doc_id", "key", F.concat(pairs, more).alias("spans")).filter(F.size("spans") > 0)
     return spans.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -313,7 +381,8 @@ def _cleaned(docs: DataFrame, keep_first: bool, length: int, hot: int) -> DataFr
                         a, b = merged(spans.values.field("a").to_numpy(), spans.values.field("b").to_numpy())
                         cuts = np.concatenate([[0], np.column_stack([a, b]).ravel(), [len(raw)]]).tolist()
                         kept = b"".join(raw[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True))
-                        values = (kept.decode(errors="ignore"), len(raw), len(raw) - len(kept), len(a), np.column_stack([a, b]).astype(int).tolist(), kept)
+                        left = "".join(raw[i:j].decode(errors="ignore") for i, j in zip(cuts[::2], cuts[1::2], strict=True))
+                        values = (left, len(raw), len(raw) - len(kept), len(a), np.column_stack([a, b]).astype(int).tolist(), kept)
                     else:
                         values = (text, len(raw), 0, 0, [], raw)
                     for column, value in zip(out, values, strict=True):
@@ -355,8 +424,10 @@ m AS (SELECT id, a, z, sum(CASE WHEN a > before THEN 1 ELSE 0 END) OVER (PARTITI
       FROM (SELECT *, coalesce(max(z) OVER (PARTITION BY id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM i)),
 u AS (SELECT id, run, min(a) AS a, max(z) AS z, row_number() OVER (PARTITION BY id ORDER BY min(a)) AS o FROM m GROUP BY id, run),
 x AS (SELECT id, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS la, list(z ORDER BY a) AS lz FROM u GROUP BY id)
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(CASE WHEN x.id IS NULL THEN h ELSE array_to_string(list_transform(range(len(la) + 1), lambda j:
-         substr(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE lz[j] END) + 1, 2 * ((CASE WHEN j = len(la) THEN n ELSE la[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE lz[j] END)))), '') END)) AS kept_sha256
-FROM b LEFT JOIN x USING (id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(array_to_string(kept, ''))) AS kept_sha256,
+       -- whole characters only: without bytes that continue one at a piece's start, or begin one at its end
+       decode(unhex(array_to_string(list_transform(kept, lambda k: regexp_replace(regexp_replace(k, '^([89AB][0-9A-F])+', ''), '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$', '')), ''))) AS text
+FROM (SELECT *, CASE WHEN x.id IS NULL THEN [h] ELSE list_transform(range(len(la) + 1), lambda j:
+         substr(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE lz[j] END) + 1, 2 * ((CASE WHEN j = len(la) THEN n ELSE la[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE lz[j] END)))) END AS kept
+      FROM b LEFT JOIN x USING (id))
 """
