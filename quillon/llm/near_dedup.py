@@ -3,10 +3,13 @@
 A text's k-mers are its windows of five words (lower-cased ASCII letters), numbered by
 occurrence.  Each of ``BANDS`` hash functions samples ``PICKED`` least k-mers and
 keeps their text order; texts with an equal sample share a bucket.  Two texts are
-linked if an alignment of their k-mer sequences matches L of n and m with
-L / (n + m - L) >= 0.8: the Jaccard index of what stands in the same order.  At
-that similarity a band is shared with probability 0.8^4, so all 24 are missed
-with 3e-6.  Classes are the connected components of the links.
+linked if an alignment of their k-mer sequences matches at least 0.8 of the longer
+one's: their edit similarity, L / max(n, m), which counts what stands in the same order.
+At that similarity two texts of n k-mers have 1.2 n different ones and share a band with
+C(0.8 n, 3) / C(1.2 n, 3): 0.30 for long texts, 0.25 for ten k-mers, 0.20 for five.  All
+``BANDS`` miss with probability 8e-7, 8e-6 and 1.3e-4; a passage that stands twice in both texts
+and is cut once in one lets k-mers change numbers, 0.22 and 5e-5.  Classes are the connected
+components of the links.
 
 Equal texts are one node.  Not all pairs of a bucket are made:
 1. each member is aligned with its bucket's least member;
@@ -31,6 +34,7 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +47,9 @@ from quillon.llm.components import components
 from quillon.llm.groups import runs
 from quillon.llm.shared import cut, drop
 
-GRAM, BANDS, PICKED, LIKE = 5, 24, 4, 0.8
+GRAM, BANDS, PICKED, LIKE = 5, 40, 3, 0.8
 BLOCK, SALT_ROWS, TABLE = 256, 256, 1 << 21
+SHORT, SPARSE = 4096, 4  # alignments of longer sequences keep no table of masks; those with few matches go by them
 _MULTIPLIERS = K.seeds(BANDS, 1)
 _BAND_CODE = K.seeds(BANDS, 101)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -66,16 +71,52 @@ def sequences(column: pa.Array) -> list[np.ndarray]:
 
 def needed(n: int, m: int, like: float = LIKE) -> int:
     """The least number of matches at which lengths n and m are alike."""
-    return int(np.ceil(like * (n + m) / (1 + like) - 1e-9))
+    return int(np.ceil(like * max(n, m) - 1e-9))
+
+
+def _by_matches(x: list[int], places: dict[int, list[int]], up: int, down: int) -> int:
+    """The longest common subsequence inside the band, match by match: work and memory grow with these."""
+    ends: list[int] = []  # ends[k]: the least place in y at which k + 1 matches can end
+    for i, c in enumerate(x):
+        for j in reversed(places.get(c, ())):
+            if i - down <= j <= i + up:
+                k = bisect_left(ends, j)
+                if k == len(ends):
+                    ends.append(j)
+                else:
+                    ends[k] = j
+    return len(ends)
+
+
+def _by_bits(x: list[int], places: dict[int, list[int]], size: int, up: int, down: int) -> int:
+    """The same by rows of bits over y (bit-parallel); of long ones the masks aren't kept, so memory is linear."""
+    full = v = (1 << size) - 1
+    masks: dict[int, int] = {}
+    for i, c in enumerate(x):
+        if c not in places:
+            continue
+        low = max(0, i - down)
+        width = max(0, i + up + 1 - low)
+        if size <= SHORT:
+            if c not in masks:
+                masks[c] = sum(1 << j for j in places[c])
+            p = masks[c] & (((1 << width) - 1) << low)
+        else:
+            near = np.zeros(min(width, size - low) if low < size else 0, np.uint8)
+            at = places[c]
+            near[np.array(at[bisect_left(at, low) : bisect_left(at, low + len(near))], np.int64) - low] = 1
+            p = int.from_bytes(np.packbits(near, bitorder="little").tobytes(), "little") << low
+        u = v & p
+        v = ((v + u) | (v - u)) & full
+    return size - v.bit_count()
 
 
 def aligned(a: np.ndarray, b: np.ndarray, like: float = LIKE) -> float:
     """The similarity of two sequences by banded alignment, or 0 if it is below ``like``.
 
     Any alignment with enough matches skips at most n - L of a and m - L of b, so
-    it stays in a band of diagonals, and so does this one: rows of a are words of
-    bits over b (bit-parallel longest common subsequence), of which each row sees
-    those in its band.
+    it stays in a band of diagonals, and so does this one.  Equal ends are matched
+    first; what is between goes by its matches if it is long and these are few, else by bits.
     """
     n, m = len(a), len(b)
     if not n or not m:
@@ -96,20 +137,13 @@ def aligned(a: np.ndarray, b: np.ndarray, like: float = LIKE) -> float:
         if matched + np.minimum(in_x, in_y).sum() < least:
             return 0.0
         up, down = m - least, n - least  # how far b may run ahead, and a
-        masks: dict[int, int] = {}
+        places: dict[int, list[int]] = {}
         for j, c in enumerate(at[len(x) :].tolist()):
-            masks[c] = masks.get(c, 0) | 1 << j
-        full = (1 << len(y)) - 1
-        v = full
-        for i, c in enumerate(at[: len(x)].tolist()):
-            p = masks.get(c, 0)
-            if p:
-                low = max(0, i - down)
-                p &= ((1 << (max(0, i + up + 1 - low))) - 1) << low
-                u = v & p
-                v = ((v + u) | (v - u)) & full
-        matched += len(y) - v.bit_count()
-    s = matched / (n + m - matched)
+            places.setdefault(c, []).append(j)
+        rows = at[: len(x)].tolist()
+        few = len(y) > SHORT and int(in_x @ in_y) <= SPARSE * (len(x) + len(y))
+        matched += _by_matches(rows, places, up, down) if few else _by_bits(rows, places, len(y), up, down)
+    s = matched / max(n, m)
     return s if matched >= least else 0.0
 
 
@@ -196,7 +230,7 @@ def links_across(keys: list[bytes], texts: pa.Array, classes: list[bytes], block
     label = np.unique(np.array(classes, object), return_inverse=True)[1]
     n = np.array(list(map(len, seqs)))
     common = in_common(seqs)
-    enough = np.ceil(LIKE * (n[:, None] + n[None, :]) / (1 + LIKE) - 1e-9)
+    enough = np.ceil(LIKE * np.maximum(n[:, None], n[None, :]) - 1e-9)
     open_ = (common >= enough) & (label[:, None] != label[None, :])
     if blocks.min() != blocks.max():
         open_ &= blocks[:, None] != blocks[None, :]

@@ -31,7 +31,7 @@ def by_hand(a, b):
     for i, p in enumerate(x):
         for j, q in enumerate(y):
             t[i + 1, j + 1] = t[i, j] + 1 if p == q else max(t[i, j + 1], t[i + 1, j])
-    return t[-1, -1] / (len(x) + len(y) - t[-1, -1])
+    return t[-1, -1] / max(len(x), len(y))
 
 
 def classes_by_hand(ids, texts):
@@ -64,6 +64,53 @@ def test_alignment_is_the_full_one_or_below_the_limit(prose):
         assert N.aligned(x, y) == pytest.approx(want if want >= 0.8 else 0), (a, b)
 
 
+@pytest.mark.parametrize("short,sparse", [(0, 1 << 30), (0, -1), (1 << 30, 0)])
+def test_every_way_to_align_is_the_full_one(prose, monkeypatch, short, sparse):
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "SHORT", short)
+    monkeypatch.setattr(N, "SPARSE", sparse)
+    r = random.Random(6)
+    for k in range(60):
+        a = prose(30, k) if k % 2 else " ".join(r.choice("abc") for _ in range(60))
+        b = edited(a, 0.02, k) if k % 3 else a[: len(a) // 2] + a
+        x, y = N.sequences(pa.array([a, b]))
+        want = by_hand(a, b)
+        assert N.aligned(x, y) == pytest.approx(want if want >= 0.8 else 0), (a, b)
+
+
+def test_a_million_words_align_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 60, 1_000_000).astype(np.uint64)
+    b = a.copy()
+    b[rng.integers(0, len(b), 60_000)] = 5
+    repetitive = np.resize(rng.integers(0, 1 << 60, 40).astype(np.uint64), 30_000)
+    other = repetitive.copy()
+    other[[7, 11_000, 29_000]] = 9
+    tracemalloc.start()
+    assert 0.93 < N.aligned(a, b) < 0.95 and N.aligned(repetitive, other) == pytest.approx(1 - 3 / 30_000)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_planted_edits_are_found(spark, documents, prose):
+    """Copies with up to one word in 25 changed share their original's class: at that share a fifth of the five-word windows change."""
+    texts, of = [], []
+    for i in range(60):
+        texts.append(prose(120, i))
+        of.append(i)
+        for k, share in enumerate((0.01, 0.02, 0.03)):
+            texts.append(edited(texts[4 * i], share, 1000 + 4 * i + k))
+            of.append(i)
+    found = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(documents(texts)).collect()}
+    alike = [by_hand(texts[4 * of[j]], texts[j]) >= 0.8 for j in range(len(texts))]
+    assert all(found[j] == 4 * of[j] for j in range(len(texts)) if alike[j])
+    assert all(found[j] // 4 == of[j] for j in range(len(texts)))
+    assert np.mean([found[j] == 4 * of[j] for j in range(len(texts)) if j % 4]) > 0.9
+
+
 def test_classes_are_those_of_all_pairs(spark, documents, prose):
     texts = [prose(60, i) for i in range(12)]
     texts += [edited(texts[i % 4], 0.012, 100 + i) for i in range(40)]
