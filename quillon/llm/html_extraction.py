@@ -8,9 +8,14 @@ of the pages of one of these groups is the template's; the other texts fill slot
 deepest element that holds most slot text is the host's main place.
 Every page is then cut into blocks.  Blocks of template texts only go, as do elements that are
 menus, headers, footers, sidebars, notices, adverts, forms or comments by their
-element, role or class; of the rest the article is taken: an article or main element,
-one named so, the host's main place, or the deepest block that holds most of the text (in the last two
-without blocks that are all links).
+element, role or class.  Of the rest the host's main place is taken: the article or main
+element (or one named so) in it or around it, else the place itself.  Only pages without that place, and hosts
+without a wrapper, go by such an element alone or by the deepest block that holds most of
+the text.  Where no element bounds the article, blocks that are all links go.
+
+Simple tree matching from the root pairs nodes of equal label paths only, so texts that it
+pairs have the same place here; places are counted instead of pairs being matched since a count covers
+all pages of a host in one pass, and matching costs the product of two pages' sizes for each pair.
 
 Scale: pages aren't grouped by host.  Copies of a page are merged by hash, texts are counted
 in the tasks that parse them and then by hash of group, place and wording, so a hot
@@ -75,7 +80,7 @@ def _names(node: Node) -> set[str]:
 
 def _size(node: Node) -> int:
     """Characters of text below."""
-    return sum(len(n.text) for _, n in node.walk() if n.tag == "#")
+    return sum(len(n.text) for n in node.nodes() if n.tag == "#")
 
 
 def _apart(node: Node, in_main: bool, whole: int) -> bool:
@@ -90,7 +95,7 @@ def _apart(node: Node, in_main: bool, whole: int) -> bool:
     if in_main or tag == "article":
         found -= {"header"}
     # a wrapper named after something it also holds ("content-with-sidebar")
-    return bool(found) and not (_names(node) & MAIN_NAMES and _size(node) > 0.6 * whole) and not any(n.tag in ("article", "main") and n is not node for _, n in node.walk())
+    return bool(found) and not (_names(node) & MAIN_NAMES and _size(node) > 0.6 * whole) and not any(n.tag in ("article", "main") and n is not node for n in node.nodes())
 
 
 class Block:
@@ -280,13 +285,19 @@ def extract(page: str, wrapper: dict) -> str:
     if not tops:
         named = by(lambda p, n: n.tag in BLOCKS and n.tag not in ("html", "body") and (_names(n) & MAIN_NAMES or "articlebody" in n.attributes.get("itemprop", "").lower()))
         tops = [max(named, key=lambda x: _size(x[1]))] if named and max(_size(n) for _, n in named) > 0.3 * whole else []
-    marked = bool(tops)
-    if not tops and wrapper.get("main"):
-        main = _key(wrapper["main"]) if isinstance(wrapper["main"], str) else wrapper["main"]
-        tops, sizes = by(lambda p, n: _key(p) == main), _plain(root)
-        largest = max(tops, key=lambda x: sizes[id(x[1])], default=None)
-        if largest and sizes[id(largest[1])] >= 0.5 * sum(sizes[id(n)] for _, n in tops):
-            tops = [largest]
+    marked, main = bool(tops), wrapper.get("main")
+    if main:
+        main = _key(main) if isinstance(main, str) else main
+        places, sizes = by(lambda p, n: _key(p) == main), _plain(root)
+        held = lambda some: sum(sizes[id(n)] for _, n in some)
+        largest = max(places, key=lambda x: sizes[id(x[1])], default=None)
+        if largest and sizes[id(largest[1])] >= 0.5 * held(places):
+            places = [largest]
+        # the host's main place decides, if this page fills it; an article in it, or around it, bounds the text
+        if held(places) and 3 * held(places) >= held(tops):
+            below = {id(n) for _, x in places for n in x.nodes()}
+            tops = [x for x in tops if id(x[1]) in below] or [x for x in tops if any(id(n) in below for n in x[1].nodes())]
+            tops, marked = tops or places, bool(tops)
     tops = tops or _densest(found) or found[:1]
     template, groups, out, inner = set(wrapper.get("template", ())), wrapper.get("groups", (0,)), [], set()
 
@@ -297,7 +308,7 @@ def extract(page: str, wrapper: dict) -> str:
     for path, top in tops:
         if id(top) in inner:
             continue
-        inner |= {id(n) for _, n in top.walk()}
+        inner |= {id(n) for n in top.nodes()}
         here = blocks(top, path, top.tag in ("article", "main"), whole)
         # where nothing marks the article, blocks that are all links are menus
         out += [b.text for b in here if not fixed(b) and (marked or b.linked < 0.8 * len(b.text))]

@@ -3,7 +3,42 @@ import re
 import pytest
 
 from quillon.llm import html_extraction as X
-from quillon.llm.html_tree import match, parse
+from quillon.llm.html_tree import parse
+
+
+def match(a, b):
+    """Pairs of nodes of a largest top-down, order-keeping matching of two trees of equal labels (simple tree matching)."""
+    weight, tables = {}, {}
+
+    def size(x, y):
+        if x.label() != y.label():
+            return 0
+        key = (id(x), id(y))
+        if key not in weight:
+            n, m = len(x.children), len(y.children)
+            t = [[0] * (m + 1) for _ in range(n + 1)]
+            for i in range(1, n + 1):
+                for j in range(1, m + 1):
+                    t[i][j] = max(t[i - 1][j], t[i][j - 1], t[i - 1][j - 1] + size(x.children[i - 1], y.children[j - 1]))
+            weight[key], tables[key] = t[n][m] + 1, t
+        return weight[key]
+
+    out = []
+    if size(a, b):
+        todo = [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            out.append((x, y))
+            t, i, j = tables[id(x), id(y)], len(x.children), len(y.children)
+            while i and j:
+                if t[i][j] == t[i - 1][j]:
+                    i -= 1
+                elif t[i][j] == t[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    todo.append((x.children[i], y.children[j]))
+    return out
 
 
 def page(body, extra=""):
@@ -119,3 +154,53 @@ def test_template_lines_with_inline_markup():
     pages = [sectioned(i, f"{line} {i}")[1] for i in range(8)]
     text = X.extract(pages[3], X.induce(pages))
     assert text == "Page 3 says 9 things of its own, at length.\n\nNote number 3"
+
+
+def test_places_hold_all_that_tree_matching_pairs():
+    """Texts that simple tree matching pairs between every page and the first, in the same words, are the template."""
+    pages = [sectioned(i, f"Read <em>more</em> at our shop</p><p>Line {i}</p><p>Thanks")[1] for i in range(6)]
+    first, constant = parse(pages[0]), None
+    paths = {id(n): p.rsplit("/", 1)[0] for p, n in first.walk()}
+    for other in pages[1:]:
+        same = {id(x) for x, y in match(first, parse(other)) if x.tag == "#" and x.text.strip() and x.text == y.text}
+        constant = same if constant is None else constant & same
+    marks = {X._within(0, X._mark(paths[id(n)], " ".join(n.text.split()))) for _, n in first.walk() if id(n) in constant}
+    assert len(marks) == 4 and marks == set(X.induce(pages)["template"])
+
+
+@pytest.mark.parametrize("piece", ["<a", "<a ", "<a '", "<a b=\"", "<!", "<!--", "</", "</a", "<a '>", "<p ='\"", "<script", "<a b = ", "</x>", "<i>", "<div><p>", "<td><p>", "<a b='x' "])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    parse(piece * (40_000 // len(piece)))
+    X.extract(piece * (20_000 // len(piece)), {})
+    assert time.perf_counter() - began < 3
+
+
+def test_deep_pages_of_one_host(spark):
+    pages = [(f"https://deep.example.com/{i}", "<div>" * 5000 + f"<p>Text {i} of its own</p><p>Same</p>" + "</div>" * 5000 + "<p>after</p>") for i in range(6)]
+    assert [t.split("\n\n")[0] for t in texts_of(spark, pages)] == [f"Text {i} of its own" for i in range(6)]
+    assert max(p.count("/") for p, _ in parse("<b>" * 3000 + "x" + "</b>" * 3000 + "<p>y").walk()) <= 514
+    assert [n.tag for n in parse("<b>" * 3000 + "x" + "</b>" * 3000 + "<p>y").children] == ["b", "p"]
+
+
+def test_wrappers_decide_without_articles(spark):
+    """Neither article, main nor telling names: the place is the wrapper's, on every page."""
+
+    def bare(i):
+        text = " ".join(f"word{i}x{j}" for j in range(40))
+        menu = "".join(f"<a href=/{k}>Menu {k}</a> " for k in range(5))
+        return (f"https://bare.example.com/{i}", f"<body><div class=q1><div>{menu}</div><div>Welcome to our site</div></div><div class=q2><h2>Title {i}</h2><p>{text}</p><p>More {i}</p></div><div class=q3>By the same people, {i % 3} of them</div></body>")
+
+    pages = [bare(i) for i in range(30)]
+    assert texts_of(spark, pages) == [f"Title {i}\n\n" + " ".join(f"word{i}x{j}" for j in range(40)) + f"\n\nMore {i}" for i in range(30)]
+    wrapper = X.induce([h for _, h in pages])
+    assert wrapper["main"].endswith("div.q") and len(wrapper["template"]) >= 6
+
+
+def test_wrappers_win_over_misplaced_articles():
+    """Teasers marked as articles don't displace the place that holds the host's text."""
+    pages = [f"<body><div class=z>{f'Own text {i} at length. ' * 20}</div><article>See page {i}</article></body>" for i in range(8)]
+    wrapper = X.induce(pages)
+    assert X.extract(pages[2], wrapper).startswith("Own text 2") and X.extract(pages[2], {}) == "See page 2"
