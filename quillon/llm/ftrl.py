@@ -144,7 +144,8 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
 
 
 def held_out(column: str = "doc_id") -> Column:
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2
+    """Whether crc32 of the id as text leaves 2 by 4; a null id is not held out (and no label is found by it)."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -157,8 +157,9 @@ def test_repeated_rows_and_empty_tables(spark, documents):
     assert licenses.license_scan(documents(["cc by nc"] * 3 + [None], [1, 1, None, None])).count() == 4
 
 
-@pytest.mark.parametrize("rows_a_range", [3, 1000])
-def test_edits_take_the_next_documents_text(spark, documents, prose, monkeypatch, rows_a_range):
+@pytest.mark.parametrize(("rows_a_range", "side"), [(3, 128), (1000, 128), (2, 2), (1, 1)])
+def test_edits_take_the_next_documents_text(spark, documents, prose, monkeypatch, rows_a_range, side):
+    monkeypatch.setattr(P, "SIDE", side)
     monkeypatch.setattr(P.dealt_in_ranges, "__defaults__", (rows_a_range,))
     texts = [*ODD, *(prose(n, n) for n in (1, 2, 3, 10, 50, 200, 900, 30, 30))]
     ids = list(range(0, 3 * len(texts), 3))
@@ -188,6 +189,84 @@ def test_edits_with_one_row_none_and_equal_ids(spark, documents):
     assert sorted(map(str, (r["doc_id"] for r in rows))) == ["1", "1", "1", "None"]
 
 
+@pytest.mark.parametrize("side", [2, 128])
+def test_many_rows_of_one_id_are_cut_into_spans(spark, documents, prose, monkeypatch, side):
+    monkeypatch.setattr(P, "SIDE", side)
+    texts = [prose(3, i) for i in range(120)]
+    ids = [None] * 40 + [7] * 40 + [-(1 << 63)] * 3 + list(range(37))
+    dealt = P.dealt_in_ranges(documents(texts, ids), 4).collect()
+    own = [r for r in dealt if not r["head"]]
+    key = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    order = sorted(zip(ids, texts, strict=True), key=lambda x: (-(1 << 63) if x[0] is None else x[0], x[0] is not None, key(x[1])), reverse=True)
+    assert [(r["doc_id"] if r["known"] else None, r["text"]) for r in sorted(own, key=lambda r: (r["span"], [-r["doc_id"], not r["known"], -int(key(r["text"]), 16)]))] == order
+    spans = sorted({r["span"] for r in own})
+    assert len({r["span"] for r in own if r["doc_id"] == 7}) > 2 and len({r["span"] for r in own if not r["known"]}) > 2
+    heads = {r["span"]: r["text"] for r in dealt if r["head"]}
+    firsts = {s: next(t for t in (t for _, t in order) if any(r["span"] == s and r["text"] == t for r in own)) for s in spans}
+    assert heads == {s: firsts[spans[(i + 1) % len(spans)]] for i, s in enumerate(spans)}
+    found = P.fingerprint_edits(documents(texts, ids)).collect()
+    assert len(found) == 120 and sorted(str(r["doc_id"]) for r in found) == sorted(map(str, ids))
+
+
+def test_sketches_are_those_by_hand(prose):
+    text = "a b c a b c a b c d " + prose(30, 8)
+    (part,) = K.slices(pa.array([text]))
+    w = text.split()
+    code = dict(zip(w, K.words(part).hash.tolist(), strict=True))
+    seen: dict = {}
+    mers = []
+    for i in range(len(w) - 2):
+        g = tuple(w[i : i + 3])
+        h = int(K.grams(np.array([code[x] for x in g], np.uint64), 3)[0])
+        seen[g] = seen.get(g, -1) + 1
+        mers.append(int(K.mix(np.array([(h + seen[g] * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64))[0]))
+    slots = []
+    for m in K.seeds(48, 9).tolist():
+        order = sorted(range(len(mers)), key=lambda i: (mers[i] ^ (m >> 7)) * m % (1 << 64))[:2]
+        h = 2
+        for i in sorted(order):
+            h = int(K.mix(np.array([(h * 0x9E3779B97F4A7C15 + mers[i]) % (1 << 64)], np.uint64))[0])
+        slots.append(h >> 32)
+    assert P.sketches(part)[0].tolist() == slots
+
+
+def test_labelled_rows_of_repeated_ids(spark, documents):
+    from quillon.llm.samples import labelled
+
+    docs = documents([f"text {i}" for i in range(50)] + [None], [i % 5 for i in range(50)] + [9])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(1, 0), (9, 1), (None, 1)], "doc_id long, quality int")
+    rows = {r["doc_id"]: r for r in labelled(docs, labels, "quality", 100).collect()}
+    assert sorted(rows) == [0, 1, 2, 3, 4, 9] and rows[1]["quality"] == 0
+    assert rows[2]["text"] == min((f"text {i}" for i in range(2, 50, 5)), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert labelled(docs, labels, "quality", 2).count() == 2
+
+
+def test_a_null_id_is_not_held_out(spark, documents):
+    from quillon.llm.ftrl import quality_classifier
+
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    rows = quality_classifier(documents(["a b", "c d"], [None, 1]), labels).collect()
+    assert sorted((str(r["doc_id"]), r["held_out"]) for r in rows) == [("1", False), ("None", False)]
+
+
+def test_updates_are_those_of_the_published_rule():
+    from quillon.llm.ftrl import Ftrl
+
+    rng, model = np.random.default_rng(2), Ftrl(6, 0.5, 1.0, 0.1, 0.2)
+    z, n = [0.0] * 6, [0.0] * 6
+    for _ in range(60):
+        at = rng.choice(6, 3, replace=False)
+        x, y = rng.random(3), float(rng.integers(2))
+        w = [0.0 if abs(z[i]) <= 0.1 else -(z[i] - np.sign(z[i]) * 0.1) / ((1.0 + n[i] ** 0.5) / 0.5 + 0.2) for i in at]
+        p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+        for k, i in enumerate(at):
+            g = (p - y) * x[k]
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * w[k]
+            n[i] += g * g
+        model.update(at, x, y)
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+
+
 def test_moved_blocks_are_less_alike_than_equal_text(prose):
     a = prose(400, 1, line=400)
     w = a.split()

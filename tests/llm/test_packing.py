@@ -111,3 +111,22 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, documents):
     assert P.best_fit_packing(documents([])).count() == 0
     rows = P.best_fit_packing(documents(["a b", "a b", None], [1, 1, None])).collect()
     assert len(rows) == 3 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3
+
+
+@pytest.mark.parametrize("kind", ["cased", "plain"])
+def test_other_vocabularies_are_encoded_whole(tmp_path, kind):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    words = {w: i for i, w in enumerate(["?", "abc", "Abc", "!", "abc!", "Abc!"])}
+    t = Tokenizer(models.WordLevel(words, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit() if kind == "cased" else pre_tokenizers.Whitespace()
+    if kind == "plain":
+        t.normalizer = normalizers.Lowercase()
+    t.save(str(tmp_path / "v.json"))
+    texts = ["Abc abc", "Abc!", "", "abc ! Abc\n\tabc!", "É é"]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert Units(str(tmp_path / "v.json")).ids([x.encode() for x in texts]) == want
+
+
+def test_the_contracts_vocabulary_goes_by_units():
+    assert Units(P.vocabulary()).by_units
