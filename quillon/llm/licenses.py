@@ -1,18 +1,18 @@
 """License scans by diagonal voting.
 
 Documents and license templates are cut into words.  Every window of three words
-of a document is hashed and joined to the template places with the same hash;
-each match votes for the diagonal document place minus template place.  Votes of
-neighbouring diagonals (a word more or less in between) are merged, as are chains of votes
-in the template's order between which at most ``GAP`` of its length was inserted or left out, and a span
-counts when its votes cover enough of the template.  Phrases (short templates)
-need all their votes on one diagonal, which is the same as their words standing
+of a document is hashed, and all of them are joined to the template places with the same hash;
+each match votes for the diagonal document place minus template place.  Votes are counted
+by diagonal, and neighbouring diagonals merged: to one span while they lie at most ``GAP`` of the
+template's length apart (inserted or left out words).  A span with enough votes is verified by aligning its
+matches with the template: the best chain in the order of both must cover ``COVERED`` of the template.
+Licenses quote each other, so of chains that share half of their place the longest gives the label.
+Phrases (short templates) need all their votes on one diagonal, which is the same as their words standing
 consecutively.
 
-Scale: one pass over the texts; windows that no template has are dropped before
-the join by a search in the template hashes, so what is joined are matches.  The
-template side is a constant of this module and is broadcast; votes are written as a table, which spans and chains read.  The join compares
-the window's words as well as its hash.
+Scale: one pass over the texts; windows are joined where they are made, to a constant of
+this module that is broadcast, and nothing but votes goes further.  Hashes have 62 bits, so
+that equal ones are taken for equal words.  Votes are counted in their task before they are shuffled.
 
 Edge cases: null and empty texts have no words, places or labels and score 0;
 overlapping places all count; repeated rows each get a row; other columns are
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import kernels as K
@@ -34,29 +34,77 @@ from quillon.llm.shared import cut
 #: Phrases whose every place counts, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Well-known sentences of public licenses, with their labels.
+#: The paragraphs of public licenses and of the notices they ask for, in the scanner's words, with their labels.
 TEMPLATES = {
     "mit": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
         "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     ),
     "apache-2": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
         "licensed under the apache license version 2 0",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required",
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    "boost": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+        "distributed under the boost software license version 1 0",
+    ),
+    "gpl-2": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     ),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
     "gpl-3": (
-        "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this work is licensed under the gnu general public license version 3",
     ),
-    "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
-    "cc-by-nc": ("licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"),
-    "cc-by-sa": ("licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international"),
-    "cc-by": ("creative commons attribution 4 0 international license",),
+    "lgpl": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
+    "agpl-3": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "mpl-2": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+    ),
+    "cc-by-nc": (
+        "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+        "creative commons attribution noncommercial 4 0 international",
+        "licensed under cc by nc 4 0",
+    ),
+    "cc-by-sa": (
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+        "creative commons attribution sharealike 4 0 international",
+        "licensed under cc by sa 4 0",
+    ),
+    "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license"),
 }
 
 GRAM, DRIFT, COVERED, GAP = 3, 2, 0.7, 0.4
+#: Stands before the windows of every document, and is a template of its own, so that each document has a row.
+_START = -1
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -72,46 +120,40 @@ def _hashed(part: K.Slice) -> tuple[K.Words, np.ndarray, np.ndarray]:
     return w, g, np.flatnonzero(w.row[: len(g)] == w.row[GRAM - 1 : GRAM - 1 + len(g)]) if len(g) else np.zeros(0, int)
 
 
-def template_rows() -> list[tuple[int, bool, str, int, int, int, str]]:
-    """(template, phrase, label, windows, place, hash, window) of every template place."""
+def template_rows() -> list[tuple[int, bool, str, int, int, int]]:
+    """(template, phrase, label, windows, place, hash) of every template place."""
     found, every = [], [(p, True, x) for p, x in PHRASES.items()] + [(t, False, x) for x, ts in TEMPLATES.items() for t in ts]
     for n, (text, phrase, label) in enumerate(every):
         (part,) = K.slices(pa.array([text]))
         _, g, at = _hashed(part)
-        words = text.split()
-        found += [(n, phrase, label, len(at), int(i), int(g[i].astype(np.int64)), " ".join(words[i : i + GRAM])) for i in at]
+        found += [(n, phrase, label, len(at), int(i), int(g[i].astype(np.int64))) for i in at]
     return found
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and the windows that some template has, as (place, hash, window)."""
-    known = np.unique(np.array([r[5] for r in template_rows()], np.int64).astype(K.U64))
-    hit = pa.struct([("place", pa.int64()), ("hash", pa.int64()), ("window", pa.string())])
+def windows(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words and the hashes of all windows in order, behind the start mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch.column(1)):
                 w, g, at = _hashed(part)
-                at = at[known[np.minimum(np.searchsorted(known, g[at]), len(known) - 1)] == g[at]]
-                data = _FOLD[part.data]
-                window = [b" ".join(data[w.start[i + j] : w.end[i + j]].tobytes() for j in range(GRAM)).decode() for i in at]
-                ends = np.searchsorted(w.row[at], np.arange(len(part) + 1)).astype(np.int32)
-                hits = pa.StructArray.from_arrays([pa.array(at - w.bounds[w.row[at]], pa.int64()), pa.array(g[at].astype(np.int64)), pa.array(window, pa.string())], fields=list(hit))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(np.diff(w.bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), hits)], names=["doc_id", "n_words", "hits"])
+                ends = np.searchsorted(w.row[at], np.arange(len(part) + 1))
+                hashes = np.insert(g[at].astype(np.int64), ends[:-1], _START)
+                offsets = (ends + np.arange(len(part) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(np.diff(w.bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))], names=["doc_id", "n_words", "hashes"])
 
-    schema = "doc_id long, n_words long, hits array<struct<place: long, hash: long, window: string>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, hashes array<long>")
 
 
-def chained(votes: list[tuple[int, int]], windows: int) -> int:
-    """The most places of a template, in order, that a chain of votes (place, t_place) covers.
+def chained(votes: list[tuple[int, int]], windows: int) -> tuple[int, int, int]:
+    """The most places of a template, in order, that a chain of votes (place, t_place) covers, and its first and last place.
 
     From a vote to the next the diagonal may move by ``GAP`` of the template's length (inserted or left out
     words), and a chain spans at most twice the template.
     """
     gap = max(DRIFT, int(np.ceil(GAP * windows)))
     ends: list[tuple[int, int, int, int]] = []  # place, t_place, votes so far, first place
-    best, low = 0, 0
+    best, low = (0, 0, 0), 0
     for place, t in sorted(set(votes)):
         while low < len(ends) and ends[low][0] < place - windows - gap:
             low += 1
@@ -120,41 +162,63 @@ def chained(votes: list[tuple[int, int]], windows: int) -> int:
             if x < place and u < t and abs((place - t) - (x - u)) <= gap and place - start <= 2 * windows and (m + 1, start) > (n, first):
                 n, first = m + 1, start
         ends.append((place, t, n, first))
-        best = max(best, n)
+        best = max(best, (n, first, place), key=lambda x: x[0])
     return best
 
 
-def chains(votes: DataFrame) -> DataFrame:
-    """The share that the best chain covers, of every row and template with enough votes, as spans without a diagonal."""
-    keys = ["row", "doc_id", "n_words", "template", "phrase", "label", "windows"]
-    held = votes.filter("not phrase").groupBy(keys).agg(F.collect_list("place").alias("places"), F.collect_list("t_place").alias("t_places")).filter(F.size("places") >= COVERED * F.col("windows"))
+def verified(spans: DataFrame) -> DataFrame:
+    """(row, label, windows, n, first, last) of the best chain of matches of each of spans (row, label, windows, places, t_places)."""
+    names = ["n", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in (6, 7, 8)), strict=True)
-            share = [chained(list(zip(places, t_places, strict=True)), windows) / windows for windows, places, t_places in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.nulls(batch.num_rows, pa.int64()), pa.array(share, pa.float64())], names=[*keys, "diagonal", "share"])
+            rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
+            best = [chained(list(zip(places, t_places, strict=True)), n) for n, places, t_places in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([x[i] for x in best], pa.int64()) for i in range(3))], names=["row", "label", "windows", *names])
+
+    return spans.select("row", "label", "windows", "places", "t_places").mapInArrow(run, "row long, label string, windows int, n long, first long, last long")
+
+
+def longest(spans: DataFrame) -> DataFrame:
+    """(row, label) of the verified spans that no longer chain shares half of the place of; as long ones both stay."""
+    lists = spans.groupBy("row").agg(F.collect_list(F.struct("label", "n", "first", "last")).alias("all"))
+
+    def beaten(x: Column) -> Column:
+        shared = lambda y: F.least(x["last"], y["last"]) - F.greatest(x["first"], y["first"]) + 1
+        return F.exists("all", lambda y: (y["n"] > x["n"]) & (2 * shared(y) >= x["last"] - x["first"] + 1))
 
-    return held.mapInArrow(run, "row long, doc_id long, n_words long, template int, phrase boolean, label string, windows int, diagonal long, share double")
+    return lists.select("row", F.explode(F.filter("all", lambda x: ~beaten(x))).alias("x")).select("row", F.col("x.label").alias("label"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: places of the phrases, labels, and the largest share of a template that a span covers."""
     spark = docs.sparkSession
-    templates = spark.createDataFrame(template_rows(), "template int, phrase boolean, label string, windows int, t_place int, hash long, window string")
+    templates = spark.createDataFrame([(-1, False, None, 0, 0, _START), *template_rows()], "template int, phrase boolean, label string, windows int, t_place int, hash long")
     # a row's identity, so that repeated ids stay rows of their own
-    rows = matches(docs).withColumn("row", F.monotonically_increasing_id())
-    votes = rows.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "n_words", "hit.*")
-    votes = votes.join(F.broadcast(templates), ["hash", "window"], "left")
+    rows = windows(docs).withColumn("row", F.monotonically_increasing_id())
+    every = rows.select("row", "doc_id", "n_words", F.posexplode("hashes").alias("place", "hash")).withColumn("place", F.col("place") - 1)
+    votes = every.join(F.broadcast(templates), "hash")
     votes = cut(votes.select("row", "doc_id", "n_words", "template", "phrase", "label", "windows", "place", "t_place"), "votes")
-    chain = chains(votes)
-    # a vote for a template counts for the neighbouring diagonals too
-    near = F.when(F.col("phrase"), F.array(F.lit(0))).when(F.col("template").isNotNull(), F.sequence(F.lit(-DRIFT), F.lit(DRIFT))).otherwise(F.array(F.lit(0)))
-    votes = votes.withColumn("near", F.explode(near)).withColumn("diagonal", F.col("place") - F.col("t_place") + F.col("near"))
-    spans = votes.groupBy("row", "doc_id", "n_words", "template", "phrase", "label", "windows", "diagonal").agg((F.countDistinct("t_place") / F.col("windows")).alias("share"))
-    spans = spans.unionByName(chain)
-    base, covered = F.col("phrase") & (F.col("share") == 1), ~F.col("phrase") & (F.col("share") >= COVERED)
-    found = spans.groupBy("row", "doc_id", "n_words").agg(
+    of = ["row", "template", "phrase", "label", "windows"]
+    voted = votes.filter("template >= 0").groupBy(*of, (F.col("place") - F.col("t_place")).alias("diagonal")).agg(F.count("*").alias("n"), F.collect_list("place").alias("places"))
+    voted = cut(voted, "diagonals")
+
+    # neighbouring diagonals of a template are one span
+    by = Window.partitionBy("row", "template").orderBy("diagonal")
+    apart = F.greatest(F.lit(DRIFT), F.ceil(GAP * F.col("windows"))) < F.col("diagonal") - F.lag("diagonal").over(by)
+    held = voted.filter("not phrase").withColumn("new", F.when(apart, 1).otherwise(0)).withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    t_places = F.transform("places", lambda x: (x - F.col("diagonal")).cast("int"))
+    held = held.groupBy("row", "template", "label", "windows", "span").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("places")).alias("places"), F.flatten(F.collect_list(t_places)).alias("t_places"))
+    spans = verified(held.filter(F.size(F.array_distinct("t_places")) >= COVERED * F.col("windows")))
+    spans = cut(spans.filter(F.col("n") >= COVERED * F.col("windows")), "spans")
+
+    share, no_place = F.col("n") / F.col("windows"), F.lit(None).cast("long").alias("diagonal")
+    found = voted.select("row", "label", "phrase", "diagonal", share.alias("share"))
+    # a span's label counts where it isn't beaten, its share in any case
+    found = found.unionByName(spans.select("row", F.lit(None).cast("string").alias("label"), F.lit(False).alias("phrase"), no_place, share.alias("share")))
+    found = found.unionByName(longest(spans).select("row", "label", F.lit(False).alias("phrase"), no_place, F.lit(None).cast("double").alias("share")))
+    base, covered = F.col("phrase") & (F.col("share") == 1), ~F.col("phrase") & F.col("diagonal").isNull()
+    found = found.groupBy("row").agg(
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("diagonal"))).alias("first_word"),
         F.max(F.when(base, F.col("diagonal"))).alias("last_word"),
@@ -162,5 +226,6 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.collect_set(F.when(base | covered, F.col("label"))).alias("labels"),
         F.max(F.when(base, F.lit(1.0)).when(~F.col("phrase"), F.col("share"))).alias("score"),
     )
-    text = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", text("base_labels"), text("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    text = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit("")).alias(c)
+    found = votes.filter("template < 0").select("row", "doc_id", "n_words").join(found, "row", "left")
+    return found.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), text("base_labels"), text("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -1,6 +1,7 @@
 """Operators that give a row per document: rules, classifier, licenses, fingerprints."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -131,8 +132,64 @@ def test_phrases_are_found_wherever_they_stand(spark, documents, prose):
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
 
 
+def sentence(label, end):
+    return next(t for t in licenses.TEMPLATES[label] if t.endswith(end)).split()
+
+
+def labels_by_hand(text):
+    """Labels and score: all matches of three words, spans of neighbouring diagonals, and the best chain by trying every pair."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    _, n_base, _, _, base = licenses_by_hand(text)
+    chains, score = [], float(n_base > 0)
+    for label, template in ((x, t.split()) for x, ts in licenses.TEMPLATES.items() for t in ts):
+        n = len(template) - 2
+        at = sorted((i - j, i, j) for i in range(len(w) - 2) for j in range(n) if w[i : i + 3] == template[j : j + 3])
+        gap, spans = max(licenses.DRIFT, math.ceil(licenses.GAP * n)), []
+        for k, (d, i, j) in enumerate(at):
+            if not k or d - at[k - 1][0] > gap:
+                spans.append([])
+            spans[-1].append((i, j))
+            score = max(score, sum(x == d for x, _, _ in at) / n)
+        for span in spans:
+            if len({j for _, j in span}) < licenses.COVERED * n:
+                continue
+            ways = []
+            for i, j in sorted(span):
+                before = [(m + 1, s) for a, b, m, s in ways if a < i and b < j and abs((i - j) - (a - b)) <= gap and i - s <= 2 * n]
+                ways.append((i, j, *max([(1, i), *before])))
+            last, _, m, first = max(ways, key=lambda x: x[2])
+            if m >= licenses.COVERED * n:
+                score = max(score, m / n)
+                chains.append((label, m, first, last))
+    beaten = lambda x: any(y[1] > x[1] and 2 * (min(x[3], y[3]) - max(x[2], y[2]) + 1) >= x[3] - x[2] + 1 for y in chains)
+    return ",".join(sorted({x[0] for x in chains if not beaten(x)} | set(filter(None, base.split(","))))), score
+
+
+def test_notices_that_differ_in_a_word(spark, documents):
+    notices = ["gpl-2", "gpl-3", "agpl-3", "lgpl", "cc-by", "cc-by-nc", "cc-by-sa"]
+    rows = {r["doc_id"]: r for r in licenses.license_scan(documents([licenses.TEMPLATES[x][0] for x in notices])).collect()}
+    assert [rows[i]["labels"] for i in range(len(notices))] == notices and all(r["score"] == 1 for r in rows.values())
+
+
+def test_labels_and_scores_are_those_by_hand(spark, documents, prose):
+    r, texts = random.Random(8), [*ODD, prose(400, 9)]
+    for k in range(60):
+        words = prose(r.randrange(40), k).split()
+        for _ in range(r.randrange(1, 4)):
+            part = r.choice([t for ts in licenses.TEMPLATES.values() for t in ts]).split()
+            for _ in range(r.randrange(8)):
+                i = r.randrange(len(part))
+                part[i : i + r.randrange(3)] = ["other"] * r.randrange(3)
+            words += [*part[r.randrange(6) :], *prose(r.randrange(12), k + 1).split()]
+        texts.append(" ".join(words))
+    rows = {x["doc_id"]: x for x in licenses.license_scan(documents(texts)).collect()}
+    for i, t in enumerate(texts):
+        label, score = labels_by_hand(t)
+        assert (rows[i]["labels"], rows[i]["score"]) == (label, pytest.approx(score)), t
+
+
 def test_templates_with_words_changed(spark, documents, prose):
-    mit = licenses.TEMPLATES["mit"][0].split()
+    mit = sentence("mit", "without restriction")
     broken = [*mit[:10], "really", *mit[10:20], *mit[21:]]
     texts = [prose(30, 1) + " " + " ".join(mit).title() + ". " + prose(30, 2), " ".join(broken), " ".join(mit[:8]), " ".join(reversed(mit))]
     rows = {r["doc_id"]: r for r in licenses.license_scan(documents(texts)).collect()}
@@ -142,7 +199,7 @@ def test_templates_with_words_changed(spark, documents, prose):
 
 @pytest.mark.parametrize("more", [5, 8, 10])
 def test_templates_with_words_between(spark, documents, prose, more):
-    mit, gpl = licenses.TEMPLATES["mit"][0].split(), licenses.TEMPLATES["gpl-3"][1].split()
+    mit, gpl = sentence("mit", "without restriction"), sentence("gpl-3", "any later version")
     line = prose(more, 5).split()
     marked = [w for i in range(0, len(gpl), 9) for w in ["dnl", *gpl[i : i + 9]]]
     apart = [*mit[:14], *prose(60, 6).split(), *mit[14:]]
