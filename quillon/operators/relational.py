@@ -35,8 +35,8 @@ def measured(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]] | None = None, condition: str | Column | None = None, how: str = "inner", small: bool = False) -> DataFrame:
-    """Keys and condition must both hold; neither gives all pairs."""
+def join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]] | None = None, condition: str | Column | None = None, how: str = "inner", small: bool = False, hint: str | None = None) -> DataFrame:
+    """Keys and condition must both hold; neither gives all pairs.  hint: merge, shuffle_hash or shuffle_replicate_nl, for the right side."""
     on: Column | None = None
     for a, b in keys or []:
         on = (left[a] == right[b]) if on is None else on & (left[a] == right[b])
@@ -45,9 +45,78 @@ def join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]] | None =
         on = c if on is None else on & c
     if small and measured(right) <= BROADCAST_BYTES:
         right = F.broadcast(right)
+    if hint:
+        right = right.hint(hint)
     return left.crossJoin(right) if on is None else left.join(right, on, how)
 
 
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, columns: list[str], prefix: str = "") -> DataFrame:
+    """Every row of left with ``columns`` of the last row of right that has the same ``by`` and is not later at ``at``.
+
+    One shuffle of both sides and one sorted pass: no pairs are made.  Of right rows of one time any may
+    be taken; rows with a null key or time find none.
+    """
+    found = F.struct(*(F.col(c) for c in columns))
+    rows = left.select(*by, at, F.struct("*").alias("_row"), F.lit(None).cast(right.select(found.alias("x")).schema["x"].dataType).alias("_found"))
+    rows = rows.unionByName(right.select(*by, at, F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), found.alias("_found")))
+    known = F.lit(True)
+    for c in (*by, at):
+        known = known & F.col(c).isNotNull()
+    over = Window.partitionBy(*by).orderBy(F.col(at), F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_found", F.last(F.when(known, F.col("_found")), ignorenulls=True).over(over)).filter("_row IS NOT NULL")
+    return rows.select("_row.*", *(F.when(known, F.col(f"_found.{c}")).alias(prefix + c) for c in columns))
+
+
+def interval_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: float, by: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Pairs of points and spans (equal in ``by``) with low <= at <= high, for numeric columns.
+
+    Both are dealt to buckets of ``width`` (about a usual span's length), so only near ones meet; a span
+    stands in each bucket it touches.
+    """
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width))
+    points = points.withColumn("_bucket", bucket(at))
+    spans = spans.filter(F.col(low) <= F.col(high)).withColumn("_bucket_of", F.explode(F.sequence(bucket(low), bucket(high))))
+    pairs = join(points, spans, [("_bucket", "_bucket_of"), *(by or [])], F.col(at).between(F.col(low), F.col(high)))
+    return pairs.drop("_bucket", "_bucket_of")
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], at_once: int = 100_000) -> list[float | None]:
+    """The values at these shares of the sorted column, between two by their distance (as percentile does).
+
+    Approximate quantiles bracket each until what lies inside is small enough to fetch, so no task holds all
+    different values.
+    """
+    x = F.col(column)
+    rows = df.select(x).filter(x.isNotNull())
+    n = rows.count()
+
+    def place(k: int):
+        low = high = None
+        while True:
+            inside = rows if low is None else rows.filter(x.between(low, high))
+            below, size = (0, n) if low is None else rows.agg(F.coalesce(F.sum((x < low).cast("long")), F.lit(0)), F.coalesce(F.sum(x.between(low, high).cast("long")), F.lit(0))).first()
+            if low is not None and low == high:
+                return low
+            if size <= at_once:
+                return sorted(r[0] for r in inside.collect())[k - below]
+            at, margin = (k - below) / size, 0.01
+            before = low, high
+            low, high = inside.agg(F.percentile_approx(x, [max(0.0, at - margin), min(1.0, at + margin)], 1000)).first()[0]
+            if (low, high) == before:  # few different values are left
+                values = inside.groupBy(x).count().orderBy(x).collect()
+                for value, times in values:
+                    below += times
+                    if k < below:
+                        return value
+
+    out: list[float | None] = []
+    for share in shares:
+        spot = share * (n - 1)
+        k = int(spot)
+        out.append(None if not n else place(k) if spot == k else place(k) + (place(k + 1) - place(k)) * (spot - k))
+    return out
+
+
 def total(df: DataFrame, **aggregates: tuple[str, str]) -> DataFrame:
     """One row: name=(function, column)."""
     return df.agg(*(aggregate(f, c, name) for name, (f, c) in aggregates.items()))
@@ -60,13 +129,16 @@ def grouped(df: DataFrame, keys: list[str], having: str | Column | None = None,
 
 
 def order(df: DataFrame, *keys: str) -> DataFrame:
-    """Keys as "name" or "name desc"; nulls come last either way."""
+    """Keys as "name", "name desc" or "name nulls first"; nulls come last unless they say so."""
     return df.orderBy(*map(sort_key, keys))
 
 
 def sort_key(key: str) -> Column:
-    name, _, way = key.partition(" ")
-    return F.col(name).desc_nulls_last() if way.strip().lower() == "desc" else F.col(name).asc_nulls_last()
+    """"name", with "desc" and "nulls first" as wanted."""
+    name, *words = key.split()
+    words = [w.lower() for w in words]
+    way, first = "desc" if "desc" in words else "asc", "first" if words[-2:] == ["nulls", "first"] else "last"
+    return getattr(F.col(name), f"{way}_nulls_{first}")()
 
 
 def top(df: DataFrame, n: int, *keys: str, offset: int = 0) -> DataFrame:
@@ -74,8 +146,22 @@ def top(df: DataFrame, n: int, *keys: str, offset: int = 0) -> DataFrame:
     return (out.offset(offset) if offset else out).limit(n)
 
 
-def ranked(df: DataFrame, by: list[str], *keys: str, name: str = "rank", function: str = "rank") -> DataFrame:
-    return df.withColumn(name, getattr(F, function)().over(Window.partitionBy(*by).orderBy(*map(sort_key, keys))))
+def ranked(df: DataFrame, by: list[str], *keys: str, name: str = "rank", function: str = "rank", of: int | None = None) -> DataFrame:
+    """function: rank, dense_rank, percent_rank, cume_dist, row_number, or ntile ``of`` so many.
+
+    As in SQL, without columns to partition by (here and below) one task sorts all rows: only for small results.
+    """
+    return df.withColumn(name, getattr(F, function)(*([] if of is None else [of])).over(Window.partitionBy(*by).orderBy(*map(sort_key, keys))))
+
+
+def shifted(df: DataFrame, by: list[str], column: str, *keys: str, name: str, places: int = 1) -> DataFrame:
+    """The column's value so many rows before, or after if places is negative."""
+    return df.withColumn(name, F.lag(column, places).over(Window.partitionBy(*by).orderBy(*map(sort_key, keys))))
+
+
+def within(df: DataFrame, by: list[str], column: str, key: str, before: int, after: int, name: str, function: str = "sum") -> DataFrame:
+    """The aggregate of the rows whose numeric key lies at most so much before and after each one's."""
+    return df.withColumn(name, aggregate(function, column).over(Window.partitionBy(*by).orderBy(key).rangeBetween(-before, after)))
 
 
 def running(df: DataFrame, by: list[str], column: str, *keys: str, name: str = "running", function: str = "sum") -> DataFrame:

@@ -33,13 +33,15 @@ class Engine:
             raise ValueError("there is no statement")
         return self.spark.sql(text)
 
-    def answer(self, sql: str, path: str) -> DataFrame:
-        """Runs the statement and writes its result file."""
+    def answer(self, sql: str, path: str, folder: bool = False, quoted: bool = False) -> DataFrame:
+        """Runs the statement and writes its result file, or with ``folder`` a folder of any store, for which nothing passes through the driver."""
         df, single = self.sql(sql), sql_text.single_aggregate(sql_text.first_statement(sql))
-        if single:
+        if folder:
+            results.write_folder(df, path, quoted)
+        elif single:
             results.write_aggregate(df, path, single[0], single[1], self._tag(single[1]))
         else:
-            results.write_rows(df, path)
+            results.write_rows(df, path, quoted)
         return df
 
     def _tag(self, column: str) -> str:

@@ -200,6 +200,42 @@ def anti_join(customer, orders):
     return R.scan(R.join(customer, R.where(orders, "o_totalprice > 300000"), [("c_custkey", "o_custkey")], how="left_anti"), "c_custkey", "c_name")
 
 
+_PAIRED = "SELECT o_orderkey, l_linenumber, c_name, p_brand FROM (orders JOIN customer ON o_custkey = c_custkey) JOIN (lineitem JOIN part ON l_partkey = p_partkey) ON o_orderkey = l_orderkey WHERE p_size > 25 AND c_acctbal > 0"
+
+
+@_query(_PAIRED, "orders", "customer", "lineitem", "part")
+def join_bushy(orders, customer, lineitem, part):
+    left = R.join(orders, R.where(customer, "c_acctbal > 0"), [("o_custkey", "c_custkey")])
+    right = R.join(lineitem, R.where(part, "p_size > 25"), [("l_partkey", "p_partkey")])
+    return R.scan(R.join(left, right, [("o_orderkey", "l_orderkey")]), "o_orderkey", "l_linenumber", "c_name", "p_brand")
+
+
+for _hint in ("merge", "shuffle_hash"):
+
+    def _hinted(orders, customer, hint=_hint):
+        return R.scan(R.join(orders, customer, [("o_custkey", "c_custkey")], hint=hint), "o_orderkey", "c_name")
+
+    _hinted.__name__ = f"join_hint_{_hint}"
+    _query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", "orders", "customer")(_hinted)
+
+
+@_query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal BETWEEN s_acctbal - 50 AND s_acctbal + 50", "customer", "supplier")
+def join_interval(customer, supplier):
+    spans = supplier.select("s_suppkey", (F.col("s_acctbal") - 50).alias("low"), (F.col("s_acctbal") + 50).alias("high"))
+    return R.interval_join(customer, spans, "c_acctbal", "low", "high", 100).select("c_custkey", "s_suppkey")
+
+
+_ASOF = """WITH seen AS (SELECT user_id, ts, max(event_id) AS seen FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT e.event_id, s.seen FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN seen s ON e.user_id = s.user_id AND e.ts >= s.ts"""
+
+
+@_query(_ASOF, "events")
+def join_asof(events):
+    seen = R.grouped(R.where(events, "event_type = 'view'"), ["user_id", "ts"], seen=("max", "event_id"))
+    bought = R.where(events, "event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return R.asof_join(bought, seen, ["user_id"], "ts", ["seen"]).select("event_id", "seen")
+
+
 # --- aggregates -------------------------------------------------------------------------
 
 for _name, _function, _column, _sql in (
@@ -248,7 +284,14 @@ def agg_empty_input(orders):
 
 @_query("SELECT round(stddev_samp(o_totalprice), 2) AS spread, median(o_custkey) AS middle FROM orders", "orders")
 def agg_spread(orders):
-    return orders.agg(F.round(F.stddev_samp("o_totalprice"), 2).alias("spread"), F.median("o_custkey").alias("middle"))
+    (middle,) = R.exact_quantiles(orders, "o_custkey", [0.5])
+    return orders.agg(F.round(F.stddev_samp("o_totalprice"), 2).alias("spread")).withColumn("middle", F.lit(middle).cast("double"))
+
+
+@_query("SELECT abs(count(DISTINCT o_custkey) - n) <= 0.1 * n AS near FROM orders, (SELECT count(DISTINCT o_custkey) AS n FROM orders) GROUP BY n", "orders")
+def approx_distinct(orders):
+    counts = orders.agg(F.approx_count_distinct("o_custkey", 0.02).alias("a"), F.count_distinct("o_custkey").alias("n"))
+    return counts.select((F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("near"))
 
 
 @_query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY ALL", "lineitem")
@@ -363,6 +406,33 @@ def window_running_sum(orders):
     return out.select("o_custkey", "o_orderkey", F.round("running", 2).alias("running"))
 
 
+_BY_CUSTOMER = ("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+
+
+@_query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders", "orders")
+def window_row_number(orders):
+    return R.ranked(R.scan(orders, *_BY_CUSTOMER), ["o_custkey"], "o_orderdate", "o_orderkey", name="place", function="row_number").select("o_orderkey", F.col("place").cast("long").alias("place"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS place, ntile(2) OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS half FROM lineitem", "lineitem")
+def window_dense_rank_ntile(lineitem):
+    rows = R.ranked(R.scan(lineitem, "l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"], "l_quantity", name="place", function="dense_rank")
+    rows = R.ranked(rows, ["l_orderkey"], "l_quantity", "l_linenumber", name="half", function="ntile", of=2)
+    return rows.select("l_orderkey", "l_linenumber", F.col("place").cast("long").alias("place"), F.col("half").cast("long").alias("half"))
+
+
+@_query("SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2) OVER w AS later FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)", "orders")
+def window_lag_lead(orders):
+    rows = R.shifted(R.scan(orders, *_BY_CUSTOMER), ["o_custkey"], "o_orderkey", "o_orderdate", "o_orderkey", name="before")
+    return R.shifted(rows, ["o_custkey"], "o_orderkey", "o_orderdate", "o_orderkey", name="later", places=-2).select("o_orderkey", "before", "later")
+
+
+@_query("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN 90 PRECEDING AND 30 FOLLOWING), 2) AS around FROM (SELECT *, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders)", "orders")
+def window_range_frame(orders):
+    rows = R.scan(orders, *_BY_CUSTOMER).withColumn("day", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")))
+    return R.within(rows, ["o_custkey"], "o_totalprice", "day", 90, 30, "around").select("o_orderkey", F.round("around", 2).alias("around"))
+
+
 # --- SQL text -----------------------------------------------------------------------------------
 
 
@@ -393,3 +463,122 @@ _text(
     "orders",
 )
 _text("quoted_names", 'SELECT "n_name" AS "Nation; name" FROM nation WHERE n_name <> \'a;b\'; SELECT 1', "nation", duck='SELECT "n_name" AS "Nation; name" FROM nation WHERE n_name <> \'a;b\'')
+
+# --- nulls, and set operations that count -----------------------------------------------------------
+
+_NULLS = "(SELECT n_nationkey AS k, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS r, CASE WHEN n_nationkey % 4 > 0 THEN n_name END AS name FROM nation) AS t"
+_text("sort_nulls_first", f"SELECT k, r FROM {_NULLS} ORDER BY r NULLS FIRST, k LIMIT 13", "nation")
+_text("sort_nulls_last", f"SELECT k, name FROM {_NULLS} ORDER BY name DESC, k LIMIT 20", "nation", duck=f"SELECT k, name FROM {_NULLS} ORDER BY name DESC NULLS LAST, k LIMIT 20")
+_text("join_null_keys", f"SELECT t.k, r_name FROM {_NULLS} LEFT JOIN region ON r = r_regionkey", "nation", "region")
+_text("group_null_keys", f"SELECT r, count(*) AS n, count(name) AS names, min(name) AS first FROM {_NULLS} GROUP BY r", "nation")
+_text("not_in_with_null", f"SELECT r_name FROM region WHERE r_regionkey NOT IN (SELECT r FROM {_NULLS})", "nation", "region")
+_text("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", "customer", "supplier")
+_text("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", "customer", "supplier")
+
+# --- typed CSV ----------------------------------------------------------------------------------------
+
+#: Tables as typed CSV, with blanks: what is written, and primary keys.
+_CSV = {
+    "customer": ("SELECT c_custkey AS customer_id, c_name AS name, CASE WHEN c_custkey % 10 > 0 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment ELSE '' END AS segment FROM customer", ("customer_id",)),
+    "orders": ("SELECT o_orderkey AS orders_id, o_custkey AS customer_id, o_totalprice AS total, CASE WHEN o_orderkey % 11 > 0 THEN o_orderdate END AS day FROM orders", ("orders_id",)),
+    "region": ("SELECT r_regionkey AS region_id, r_name FROM region", ("region_id",)),
+    "nation": ("SELECT n_nationkey AS nation_id, n_name, n_regionkey AS region_id FROM nation", ("nation_id",)),
+    # a key that comes twice, one that is blank, and references to nothing
+    "broken": ("SELECT CASE WHEN n_nationkey < 3 THEN 7 WHEN n_nationkey > 3 THEN n_nationkey END AS broken_id, n_regionkey + 2 AS region_id FROM nation", ("broken_id",)),
+}
+#: The same in DuckDB, as the reader gives it: numbers are 32-bit floats, blanks null.
+_AS_READ = {
+    "customer": "SELECT c_custkey AS customer_id, c_name AS name, CASE WHEN c_custkey % 10 > 0 THEN CAST(c_acctbal AS FLOAT) END AS balance, CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS segment FROM customer",
+    "orders": "SELECT o_orderkey AS orders_id, o_custkey AS customer_id, CAST(o_totalprice AS FLOAT) AS total, CASE WHEN o_orderkey % 11 > 0 THEN o_orderdate END AS day FROM orders",
+    "region": _CSV["region"][0],
+    "nation": _CSV["nation"][0],
+}
+
+
+def _exported(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
+    """The tables as typed CSV in a new folder."""
+    import uuid
+
+    from quillon.sources.scratch import scratch_dir
+    from quillon.sources.typed_csv import write_table
+
+    folder, session = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}", spark.newSession()
+    parquet.register(session, sf_dir, "customer", "orders", "region", "nation")
+    for t in tables:
+        sql, primary = _CSV[t]
+        write_table(session.sql(sql), folder, t, primary)
+    return folder
+
+
+def _csv(name: str, sql: str, *tables: str, duck: str | None = None) -> None:
+    """A query over typed CSV, which is written first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from quillon.plans.engine import Engine
+
+        return Engine(spark, _exported(spark, sf_dir, tables)).sql(sql)
+
+    _QUERIES[name], _SQL[name] = run, f"WITH {', '.join(f'{t}_csv AS ({_AS_READ[t]})' for t in tables)} {duck or sql}"
+
+
+_csv(
+    "csv_scan",
+    "SELECT CAST(orders_id AS BIGINT) AS id, CAST(customer_id AS BIGINT) AS customer, CAST(total AS DOUBLE) AS total, day FROM orders",
+    "orders",
+    duck="SELECT orders_id AS id, customer_id AS customer, CAST(total AS DOUBLE) AS total, day FROM orders_csv",
+)
+_csv("csv_blanks", "SELECT count(*) AS n, count(balance) AS balances, count(segment) AS segments, min(segment) AS first FROM customer", "customer", duck="SELECT count(*) AS n, count(balance) AS balances, count(segment) AS segments, min(segment) AS first FROM customer_csv")
+_csv(
+    "csv_float_literals",
+    "SELECT CAST(orders_id AS BIGINT) AS id FROM orders WHERE total <= 20000.55 OR total > 250000.25 AND day IS NULL",
+    "orders",
+    duck="SELECT orders_id AS id FROM orders_csv WHERE total <= CAST(20000.55 AS FLOAT) OR total > CAST(250000.25 AS FLOAT) AND day IS NULL",
+)
+_csv(
+    "csv_join_avg",
+    "SELECT round(avg(c.balance), 4) AS mean FROM customer c, orders o WHERE c.customer_id = o.customer_id AND o.total > 200000",
+    "customer",
+    "orders",
+    duck="SELECT round(avg(CAST(c.balance AS DOUBLE)), 4) AS mean FROM customer_csv c, orders_csv o WHERE c.customer_id = o.customer_id AND o.total > 200000",
+)
+_csv(
+    "csv_time_filter_sort",
+    "SELECT CAST(orders_id AS BIGINT) AS id, CAST(total AS DOUBLE) AS total FROM orders WHERE day > '1996-06-30 00:00:00' ORDER BY total, id LIMIT 40",
+    "orders",
+    duck="SELECT orders_id AS id, CAST(total AS DOUBLE) AS total FROM orders_csv WHERE day > TIMESTAMP '1996-06-30 00:00:00' ORDER BY total, id LIMIT 40",
+)
+_csv(
+    "csv_correlated_sum",
+    "SELECT c.name, (SELECT round(sum(o.total), 2) FROM orders o WHERE o.customer_id = c.customer_id) AS spent FROM customer c ORDER BY spent DESC",
+    "customer",
+    "orders",
+    duck="SELECT c.name, (SELECT round(sum(CAST(o.total AS DOUBLE)), 2) FROM orders_csv o WHERE o.customer_id = c.customer_id) AS spent FROM customer_csv c",
+)
+
+
+def csv_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violated keys of typed CSV tables, and how many rows violate them."""
+    from quillon.plans.engine import Engine
+
+    engine = Engine(spark, _exported(spark, sf_dir, ("region", "nation", "broken")))
+    found = engine.folder.check_keys(engine.spark)
+    return spark.createDataFrame(sorted(found.items()), "what string, n long")
+
+
+_QUERIES["csv_key_check"] = csv_key_check
+_SQL["csv_key_check"] = f"""WITH broken AS ({_CSV["broken"][0]})
+SELECT 'broken primary key' AS what, CAST(sum(CASE WHEN broken_id IS NULL THEN c ELSE c - 1 END) AS BIGINT) AS n FROM (SELECT broken_id, count(*) AS c FROM broken GROUP BY broken_id)
+UNION ALL SELECT 'broken.region_id -> region', count(*) FROM broken WHERE region_id NOT IN (SELECT r_regionkey FROM region)"""
+
+
+def csv_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result file's lines of a join on a key that bears its parent's name, so that two columns are named alike."""
+    from quillon.plans.engine import Engine
+    from quillon.sources import results
+
+    engine = Engine(spark, _exported(spark, sf_dir, ("region", "nation")))
+    return results.lines(engine.sql("SELECT * FROM nation n JOIN region r ON n.region_id = r.region_id"))
+
+
+_QUERIES["csv_result_lines"] = csv_result_lines
+_SQL["csv_result_lines"] = "SELECT concat(n_nationkey, ', ', n_name, ', ', n_regionkey, ', ', r_regionkey, ', ', r_name) AS line FROM nation JOIN region ON n_regionkey = r_regionkey"

@@ -73,6 +73,16 @@ def read_table(spark: SparkSession, path: str, columns: list[Column], mode: str
     return rows.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema))
 
 
+def write_table(df: DataFrame, folder: str, table: str, primary: tuple[str, ...] = ()) -> None:
+    """df as the typed table ``<folder>/<table>.csv``, a folder of part files that each have the header."""
+    named = []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        shown = F.date_format(c, "yyyy-MM-dd HH:mm:ss") if tag_of(f) == "D" else c
+        named.append(shown.alias(f"{f.name} ({tag_of(f)})" + (" (P)" if f.name in primary else "")))
+    df.select(*named).write.csv(f"{folder}/{table}.csv", header=True, emptyValue="", mode="overwrite")
+
+
 @dataclass
 class Folder:
     """The tables of a folder, registered as views."""

@@ -11,7 +11,7 @@ from quillon.functions.aggregates import aggregate
 from quillon.operators import relational as R
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
 def canonical(frame):
@@ -125,3 +125,30 @@ def test_no_python_in_the_engine(spark):
     for name, query in queries.queries().items():
         plan = plan_of(query(spark, DATA))
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas")), name
+
+
+def test_asof_of_nulls_ties_and_many_keys(spark):
+    left = spark.createDataFrame([(1, 5, "a"), (1, 5, "a"), (1, 0, "b"), (2, 9, "c"), (None, 5, "d"), (1, None, "e")], "k int, t int, v string")
+    right = spark.createDataFrame([(1, 1, "x"), (1, 5, "y"), (1, 6, "z"), (None, 1, "n"), (3, 1, "o")], "k int, t int, w string")
+    found = sorted(map(str, ((r["v"], r["r_w"]) for r in R.asof_join(left, right, ["k"], "t", ["w"], "r_").collect())))
+    assert found == sorted(map(str, [("a", "y"), ("a", "y"), ("b", None), ("c", None), ("d", None), ("e", None)]))
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_interval_join_is_the_condition(spark, width):
+    points = spark.createDataFrame([(i, i % 3) for i in range(-20, 40, 3)] + [(None, 0)], "p int, k int")
+    spans = spark.createDataFrame([(i, i + n, i % 3) for i, n in ((-30, 15), (0, 0), (5, 30), (6, 9), (9, -4))] + [(None, 4, 0)], "a int, b int, j int")
+    for by in (None, [("k", "j")]):
+        want = points.join(spans, F.col("p").between(F.col("a"), F.col("b")) & (F.lit(True) if by is None else F.col("k") == F.col("j")))
+        assert canonical(R.interval_join(points, spans, "p", "a", "b", width, by).toPandas()) == canonical(want.toPandas())
+
+
+@pytest.mark.parametrize("at_once", [3, 100_000])
+def test_exact_quantiles(spark, at_once):
+    import numpy as np
+
+    values = [float(x) for x in np.random.default_rng(1).integers(0, 300, 500)] + [7.0] * 200
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    assert R.exact_quantiles(df, "x", shares, at_once) == pytest.approx(np.quantile(values, shares).tolist())
+    assert R.exact_quantiles(df.filter("x < 0"), "x", [0.5]) == [None]

@@ -76,3 +76,64 @@ def test_aggregate_files_name_themselves(spark, tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     path = results.write_aggregate(spark.sql("SELECT avg(x) FROM VALUES (1.5F), (2.5F) AS t(x)"), None, "avg", "x", "N")
     assert path.startswith("avg_x_") and (tmp_path / path).read_text() == "avg(x (N))\n2.000000\n"
+
+
+def test_results_of_joins_on_equal_names(spark, shop, tmp_path):
+    from quillon.plans.engine import Engine
+
+    engine = Engine(spark, shop)
+    query = "SELECT * FROM Sales s, Staff t WHERE s.Staff_id = t.Staff_id AND s.Total > 160 ORDER BY s.Sales_id"
+    engine.answer(query, str(tmp_path / "r.csv"))
+    assert (tmp_path / "r.csv").read_text().splitlines() == [
+        "Sales_id (N), Goods_id (N), Staff_id (N), Total (N), Day (D), Staff_id (N), Name (T), Pay (N), Joined (D)",
+        "1, 101, 1, 250.5, 2022-06-01 00:00:00, 1, Ann, 70000.55, 2019-07-14 00:00:00",
+        "2, 102, 1, 300.25, 2022-06-02 00:00:00, 1, Ann, 70000.55, 2019-07-14 00:00:00",
+        "4, 106, 2, 500, 2022-06-04 00:00:00, 2, Bo, 50000.1, 2021-07-10 09:15:00",
+    ]
+    engine.answer(query, str(tmp_path / "f"), folder=True)
+    assert spark.read.text(str(tmp_path / "f/rows")).count() == 3
+
+
+def test_an_aggregate_without_rows_is_a_header(spark, shop, tmp_path):
+    from quillon.plans.engine import Engine
+
+    Engine(spark, shop).answer("SELECT avg(Pay) FROM Staff HAVING avg(Pay) > 1000000", str(tmp_path / "r.csv"))
+    assert (tmp_path / "r.csv").read_text() == "avg(Pay (N))\n"
+
+
+def test_quoted_text_reads_back(spark, tmp_path):
+    df = spark.createDataFrame([("a, b", 'say "x"'), ("two\nlines", None)], "s string, t string")
+    results.write_rows(df, str(tmp_path / "q.csv"), quoted=True)
+    assert (tmp_path / "q.csv").read_text() == 's (T), t (T)\n"a, b", "say ""x"""\n"two\nlines", \n'
+
+
+def test_written_tables_read_back(spark, tmp_path):
+    df = spark.sql("SELECT * FROM VALUES (1, 'a, b', TIMESTAMP_NTZ '2020-01-02 03:04:05', 1.5D), (2, '', NULL, NULL) AS t(t_id, s, d, x)")
+    typed_csv.write_table(df, str(tmp_path), "t", ("t_id",))
+    register_folder(spark, str(tmp_path))
+    a, b = spark.table("t").orderBy("t_id").collect()
+    assert (a["s"], str(a["d"]), a["x"]) == ("a, b", "2020-01-02 03:04:05", 1.5) and (b["s"], b["d"], b["x"]) == (None, None, None)
+    assert spark.table("t").schema["t_id"].metadata == {"tag": "N", "primary": True}
+
+
+def test_command_line_writes_and_shows_once(spark, shop, tmp_path, capsys):
+    from quillon.__main__ import main
+
+    (tmp_path / "q.txt").write_text("SELECT Name, Pay FROM Staff WHERE Pay > 60000;")
+    main([shop, str(tmp_path / "q.txt"), "--out", str(tmp_path / "o.csv"), "--show", "5"])
+    assert capsys.readouterr().out.startswith("Name (T), Pay (N)\nAnn, 70000.55\n")
+    main([shop, str(tmp_path / "q.txt"), "--out-folder", str(tmp_path / "of"), "--show", "5"])
+    assert capsys.readouterr().out.startswith("Name (T), Pay (N)\nAnn, 70000.55\n")
+
+
+def test_the_registry_survives_a_missing_package(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    for name in [n for n in sys.modules if n.startswith("quillon.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "numpy", None)
+    with pytest.warns(UserWarning) if __import__("importlib").util.find_spec("quillon.llm") else __import__("contextlib").nullcontext():
+        found = e.queries()
+    assert "join_equi" in found and not any(n.startswith("op") and n[2].isdigit() for n in found)
