@@ -46,7 +46,7 @@ def shapes(part: K.Slice, w: K.Words) -> np.ndarray:
     new[w.start] = True
     count = np.zeros(len(kind) + 1, np.int64)
     np.cumsum(new, out=count[1:])
-    return K.Prefix(kind[new]).ranges(count[w.start], count[w.end])
+    return K.hashes(kind[new], count[w.start], count[w.end])
 
 
 def features(part: K.Slice, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

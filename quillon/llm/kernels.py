@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93  # odd, so that its powers have inverses modulo 2^64
@@ -61,13 +61,13 @@ class _Lane:
     def _powers(self, base: int, n: int) -> np.ndarray:
         have = self.known.get(base)
         if have is None or len(have) < n:
-            size, prime = max(n, 2 * SLICE_BYTES + 1), int(_PRIME)
-            have, done, step = np.ones(size, U64), 1, base
+            size, prime = max(n, SLICE_BYTES + 1), int(_PRIME)
+            have, done, step = np.ones(size, np.uint32), 1, base
             while done < size:  # doubling: the next powers are those so far, times base^done
                 more = min(done, size - done)
                 have[done : done + more] = have[:more] * U64(step) % _PRIME
                 done, step = 2 * done, step * step % prime
-            if size <= 4 * SLICE_BYTES:
+            if size == SLICE_BYTES + 1:  # those for a longer text aren't kept
                 self.known[base] = have
         return have[:n]
 
@@ -135,6 +135,35 @@ class Prefix:
             return mix((values[0] << U64(31) | values[1]) ^ ((ends - starts).astype(U64) * U64(_STEP)))
 
 
+#: Ranges beyond this many bytes are hashed by Prefix.
+LONG = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, which few bytes of the data need lie in: eight bytes at a time, mixed in between.
+
+    Ranges of up to eight bytes have different hashes where they differ.
+    """
+    size = ends - starts
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(U64) * U64(_STEP))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, h = starts[todo], size[todo], out[todo]
+    while len(todo):
+        h = mix(h ^ (eights[at] & _MASKS[np.minimum(left, 8)]))
+        out[todo] = h
+        more = np.flatnonzero(left > 8)
+        todo, at, left, h = todo[more], at[more] + 8, left[more] - 8, h[more]
+    todo = np.flatnonzero(size > LONG)
+    if len(todo):
+        out[todo] = Prefix(data).ranges(starts[todo], ends[todo])
+    return out
+
+
 class Rolling:
     """A quicker hash of ranges (a polynomial modulo 2^64), for choosing among them only: equal bytes hash alike, and others may too."""
 
@@ -144,12 +173,12 @@ class Rolling:
     def _powers(cls, base: int, n: int) -> np.ndarray:
         have = cls._POWERS.get(base)
         if have is None or len(have) < n:
-            size = max(n, 2 * SLICE_BYTES + 1)
+            size = max(n, SLICE_BYTES + 1)
             with np.errstate(over="ignore"):
                 have = np.full(size, base, U64)
                 have[0] = 1
                 have = np.multiply.accumulate(have)
-            if size <= 4 * SLICE_BYTES:
+            if size == SLICE_BYTES + 1:
                 cls._POWERS[base] = have
         return have[:n]
 
@@ -203,7 +232,7 @@ def words(part: Slice, separator: np.ndarray = SPACE, fold: np.ndarray | None =
     start, end = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
     bounds = np.append(np.searchsorted(start, part.starts), len(start))
     row = np.repeat(np.arange(len(part)), np.diff(bounds))
-    return Words(row, start, end, Prefix(data).ranges(start, end), bounds)
+    return Words(row, start, end, hashes(data, start, end), bounds)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

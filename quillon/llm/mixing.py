@@ -11,9 +11,9 @@ halved steps where a whole one doesn't ascend.  Steps end when every total is wi
 its own target, or, where the targets can't be met, at the least squares; the log
 tells which totals the returned rates reach.
 
-Each step is one distributed sum of K (K + 1) + 1 numbers over a table of posteriors; nothing
-of a document is kept between steps, and the final rates are computed in the pass
-that reads the texts.  Tokens are white-space words.
+The texts are read once: rows go to a table in the shared folder with their posteriors.
+Each step is one distributed sum of K (K + 1) + 1 numbers over it, and the final rates are an
+expression of its columns.  Tokens are white-space words.
 
 Copies are the whole part of rate plus a hashed uniform number, so totals match in
 expectation; rates stay as fitted, but for rounding (``ROUNDING``) at whole numbers.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import ftrl
 from quillon.llm import kernels as K
-from quillon.llm.shared import cut, drop
+from quillon.llm.shared import cut
 
 FIT_ROWS, STEPS, CLOSE, NEAR, ROUNDING = 3000, 400, 2e-3, 1e-6, 1e-9
 _log = logging.getLogger(__name__)
@@ -130,31 +130,10 @@ def solve(table: DataFrame, targets: np.ndarray, steps: int = STEPS) -> tuple[De
     return Descent(less), totals
 
 
-def posteriors(docs: DataFrame, domains: Domains) -> DataFrame:
-    """doc_id, tokens and p of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in K.slices(batch.column(1)):
-                p, n = domains.posteriors(part)
-                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * p.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=["doc_id", "tokens", "p"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tokens long, p array<double>")
-
-
 def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int, relative: bool) -> DataFrame:
     """row (the other columns), text, tokens, p, rate and copies of every row."""
     names = list(targets)
     domains = fit_domains(docs, labels, names, fit_rows)
-    table = cut(posteriors(docs, domains), "posteriors")
-    present = np.zeros(len(names))
-    for r in table.select("tokens", F.posexplode("p").alias("k", "p")).groupBy("k").agg(F.sum(F.col("tokens") * F.col("p")).alias("n")).collect():
-        present[r["k"]] = r["n"]
-    wanted = np.array(list(targets.values())) * (present if relative else present.sum())
-    descent, _ = solve(table, wanted)
-    drop(table)
-
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*(F.col(c) for c in others)).alias("row"), F.col("text").cast("string").alias("text"))
     row = rows.schema["row"].dataType.simpleString()
@@ -163,18 +142,22 @@ def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_ro
         for batch in batches:
             for part in K.slices(batch.column(1)):
                 p, n = domains.posteriors(part)
-                rate = descent.rates(p)
-                near = np.round(rate)
-                rate = np.where(np.abs(rate - near) <= ROUNDING, near, rate)
                 ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * p.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, len(part)), batch.column(1).slice(part.first, len(part)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(p.ravel())), pa.array(rate)],
-                    names=["row", "text", "tokens", "p", "rate"],
-                )
+                own = [batch.column(c).slice(part.first, len(part)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=["row", "text", "tokens", "p"])
+
+    table = cut(rows.mapInArrow(run, f"row {row}, text string, tokens long, p array<double>"), "posteriors")
+    present = np.zeros(len(names))
+    for r in table.select("tokens", F.posexplode("p").alias("k", "p")).groupBy("k").agg(F.sum(F.col("tokens") * F.col("p")).alias("n")).collect():
+        present[r["k"]] = r["n"]
+    wanted = np.array(list(targets.values())) * (present if relative else present.sum())
+    descent, _ = solve(table, wanted)
 
-    found = rows.mapInArrow(run, f"row {row}, text string, tokens long, p array<double>, rate double")
+    taken = sum((F.col("p")[k] * float(x) for k, x in enumerate(descent.less)), F.lit(0.0))
+    rate = F.greatest(F.lit(0.0), 1 - taken)
+    rate = F.when(F.abs(rate - F.round(rate)) <= ROUNDING, F.round(rate)).otherwise(rate)
     draw = F.pmod(F.xxhash64(F.col("row.doc_id"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    return found.select("row", "text", "tokens", "p", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
+    return table.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
 OWN = ("text", "tokens", "p", "rate", "copies")

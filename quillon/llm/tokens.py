@@ -9,6 +9,7 @@ and whole; one that differs anywhere, or whose parts are made otherwise, has its
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import logging
 import os
@@ -69,6 +70,8 @@ class Units:
             with self.lock:
                 if self.runs and time.monotonic() - self.used > IDLE:
                     self._empty()
+                    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library keeps what is freed
+                        trim(0)
 
     def _empty(self) -> None:
         self.runs, self.parts = {}, {b"": b""}

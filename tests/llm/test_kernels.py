@@ -45,8 +45,8 @@ def test_ranges_hash_alike_just_where_their_bytes_are_equal(data):
     raw = np.frombuffer(data + data, np.uint8)
     a, b = (x.ravel() for x in np.meshgrid(np.arange(len(raw) + 1), np.arange(len(raw) + 1)))
     a, b = a[a <= b], b[a <= b]
-    for kind in (K.Prefix, K.Rolling):
-        h = kind(raw).ranges(a, b)
+    for kind in (K.Prefix, K.Rolling, K.hashes):
+        h = K.hashes(raw, a, b) if kind is K.hashes else kind(raw).ranges(a, b)
         found: dict = {}
         for x, y, v in zip(a.tolist(), b.tolist(), h.tolist(), strict=True):
             assert found.setdefault(raw[x:y].tobytes(), v) == v
