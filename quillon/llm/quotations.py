@@ -13,8 +13,10 @@ lines that announce them ("... wrote:").
 
 Scale: only passages that somebody quotes in the same conversation take part in the join; a
 running maximum in turn order replaces a join of all pairs.  Threads are followed by
-pointer doubling, with tables in the shared folder.  Places are sums over distinct turns, so no
-conversation is collected.
+pointer doubling, with tables in the shared folder.  Places are sums over distinct turns.  Running
+values are taken within even ranges of the order, and a conversation or passage that
+spans several ranges gets what stands before each range from a table of one row per range at
+most, so one that holds most rows is dealt over all tasks.
 
 Edge cases: null texts count as empty; messages with the same conv_id and turn stand
 at one place and share links; null conv_id or turn: the message links to nothing and is its own
@@ -24,7 +26,9 @@ ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import cut, drop
@@ -61,14 +65,29 @@ def parsed(messages: DataFrame) -> DataFrame:
     )
 
 
+def _running(rows: DataFrame, keys: list[str], order: list[str], window: WindowSpec, column: str, f: Callable[[str], Column], both: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """rows with column replaced by its f over the rows of the same keys that stand before, by order; window says the order and frame, both joins two values of f.
+
+    Rows are dealt as even ranges of keys and order.  A key goes on from an earlier range
+    only as the first key of a range, so ``carried`` has at most one row a range.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = cut(rows.repartitionByRange(n, *keys, *(F.col(c).asc_nulls_last() for c in order)).withColumn("range", F.spark_partition_id()), name)
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.groupBy(*keys, "range").agg(f(column).alias("x")).select(F.struct(*keys, "range").alias("place"), f("x").over(earlier).alias("carried")).filter("carried is not null")
+    within = ranges.withColumn("within", f(column).over(window.partitionBy("range", *keys))).withColumn("here", F.struct(*keys, "range"))
+    return within.join(F.broadcast(carried), F.col("here").eqNullSafe(F.col("place")), "left").withColumn(column, both(F.col("within"), F.col("carried"))).select(*rows.columns)
+
+
 def links(rows: DataFrame) -> DataFrame:
     """conv_id, turn, n_linked (different passages found) and parent_turn of the messages that quote an earlier one."""
     quoted = rows.select("conv_id", "turn", F.inline("quoted")).groupBy("conv_id", "turn", "passage").agg(F.min("level").alias("level"))
     sought = quoted.select("conv_id", "passage").distinct()
     held = rows.select("conv_id", "turn", F.explode("own").alias("passage")).distinct().join(sought, ["conv_id", "passage"], "left_semi")
     both = quoted.select("conv_id", "passage", "turn", "level", F.lit(None).cast("long").alias("source")).unionByName(held.select("conv_id", "passage", "turn", F.lit(None).cast("int").alias("level"), F.col("turn").alias("source")))
-    earlier = Window.partitionBy("conv_id", "passage").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.filter("turn is not null").withColumn("source", F.max("source").over(earlier)).filter("level is not null and source is not null")
+    earlier = Window.orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    latest = _running(both.filter("conv_id is not null and turn is not null"), ["conv_id", "passage"], ["turn"], earlier, "source", F.max, F.greatest, "passages")
+    found = latest.filter("level is not null and source is not null")
     votes = found.groupBy("conv_id", "turn", "level", "source").agg(F.count("*").alias("n"))
     return votes.groupBy("conv_id", "turn").agg(F.sum("n").alias("n_linked"), F.max(F.struct(-F.col("level"), F.col("n"), F.col("source").alias("parent_turn")))["parent_turn"].alias("parent_turn"))
 
@@ -93,8 +112,10 @@ def quotation_linking(messages: DataFrame) -> DataFrame:
     known = rows.select("conv_id", "turn", "role", "content", F.size("quoted").cast("long").alias("n_quoted")).join(threads, ["conv_id", "turn"], "left")
     known = known.withColumn("root_turn", F.coalesce("root_turn", "turn"))
     turns = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long")).groupBy("conv_id", "turn").agg(F.count("*").alias("n")).join(threads.select("conv_id", "turn", "root_turn"), ["conv_id", "turn"], "left")
-    before = Window.partitionBy("conv_id").orderBy(F.col("root_turn").asc_nulls_last(), F.col("turn").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    places = turns.withColumn("root_turn", F.coalesce("root_turn", "turn")).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("place"))
+    before = Window.orderBy(F.col("root_turn").asc_nulls_last(), F.col("turn").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    places = _running(turns.withColumn("root_turn", F.coalesce("root_turn", "turn")), ["conv_id"], ["root_turn", "turn"], before, "n", F.sum, total, "places")
+    places = places.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("n").alias("place"))
     out = known.join(places, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")))
     return out.select(
         "conv_id",

@@ -3,6 +3,8 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from quillon.llm import quotations as Q
 
@@ -60,6 +62,22 @@ def test_any_conversations(spark, seed):
     same_as_sql(table(spark, rows))
 
 
+def test_one_conversation_holds_most_rows(spark):
+    """Its passages and places are dealt over ranges, also where one line stands in every message."""
+    r = random.Random(5)
+    rows, said = [], []
+    for t in range(1500):
+        own = [f"line {t}", "yes"]
+        rows.append((1, 10**12 * r.randrange(3) + t, "user", "\n".join([f"> {r.choice(said)}", "> yes", *own] if said else own)))
+        said += own
+    rows += [(c, t, "user", "> yes\nyes") for c in (None, 2, 3) for t in range(40)]
+    found = same_as_sql(table(spark, rows))
+    assert found.filter("conv_id = 1 and n_linked > 0").count() > 1000
+    parted = Q._running(found.select("conv_id", "turn", F.lit(1).cast("long").alias("n")), ["conv_id"], ["turn"], Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1), "n", F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "test")
+    places = sorted((x["conv_id"] or 0, x["turn"], x["n"]) for x in parted.collect())
+    assert [n for c, _, n in places if c == 1] == list(range(1500)) and [n for c, _, n in places if c == 0] == list(range(40))
+
+
 def test_empty_table_and_long_chain(spark):
     assert Q.quotation_linking(table(spark, [])).count() == 0
     rows = [(7, i, "user", f"message {i}" if not i else f"> message {i - 1}\nmessage {i}") for i in range(70)]
