@@ -13,7 +13,8 @@ tells which totals the returned rates reach.
 
 The texts are read once: rows go to a table in the shared folder with their posteriors.
 Each step is one distributed sum of K (K + 1) + 1 numbers over it, and the final rates are an
-expression of its columns.  Tokens are white-space words.
+expression of its columns.  Tokens are the ids of a vocabulary file, or
+white-space words where none is given.
 
 Copies are the whole part of rate plus a hashed uniform number, so totals match in
 expectation; rates stay as fitted, but for rounding (``ROUNDING``) at whole numbers.
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 from quillon.llm import ftrl
 from quillon.llm import kernels as K
 from quillon.llm.shared import cut
+from quillon.llm.tokens import units
 
 FIT_ROWS, STEPS, CLOSE, NEAR, ROUNDING = 3000, 400, 2e-3, 1e-6, 1e-9
 _log = logging.getLogger(__name__)
@@ -51,12 +53,12 @@ class Domains:
     names: list[str]
     weights: np.ndarray
 
-    def posteriors(self, part: K.Slice) -> tuple[np.ndarray, np.ndarray]:
-        """Rows x domains, and the words of each row."""
+    def posteriors(self, part: K.Slice) -> np.ndarray:
+        """Rows x domains."""
         row, at, value = ftrl.features(part)
         logits = np.column_stack([np.bincount(row, w[at] * value, len(part)) + w[-1] for w in self.weights])
         odds = np.exp(np.clip(logits, -30, 30))
-        return odds / odds.sum(axis=1, keepdims=True), np.diff(K.words(part).bounds)
+        return odds / odds.sum(axis=1, keepdims=True)
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, names: list[str], fit_rows: int = FIT_ROWS) -> Domains:
@@ -130,7 +132,7 @@ def solve(table: DataFrame, targets: np.ndarray, steps: int = STEPS) -> tuple[De
     return Descent(less), totals
 
 
-def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int, relative: bool) -> DataFrame:
+def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int, relative: bool, path: str | None) -> DataFrame:
     """row (the other columns), text, tokens, p, rate and copies of every row."""
     names = list(targets)
     domains = fit_domains(docs, labels, names, fit_rows)
@@ -139,9 +141,10 @@ def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_ro
     row = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = units(path).counts if path else lambda part: np.diff(K.words(part).bounds)
         for batch in batches:
             for part in K.slices(batch.column(1)):
-                p, n = domains.posteriors(part)
+                p, n = domains.posteriors(part), count(part)
                 ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * p.shape[1])
                 own = [batch.column(c).slice(part.first, len(part)) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=["row", "text", "tokens", "p"])
@@ -163,18 +166,19 @@ def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_ro
 OWN = ("text", "tokens", "p", "rate", "copies")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS, relative: bool = False) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS, relative: bool = False, path: str | None = None) -> DataFrame:
     """docs with tokens, p (in the order of targets), rate and copies; columns of these names give way to them.
 
     targets: per domain the expected token total wanted, as a share of all present
     tokens; with ``relative``, as a multiple of the domain's present total.
+    path: the vocabulary file whose ids count as tokens.
     """
-    return _mixed(docs, labels, targets, fit_rows, relative).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in OWN), *OWN)
+    return _mixed(docs, labels, targets, fit_rows, relative, path).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in OWN), *OWN)
 
 
-def rows_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS, relative: bool = False) -> DataFrame:
+def rows_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS, relative: bool = False, path: str | None = None) -> DataFrame:
     """docs, with all their columns, each row as often as its copies say."""
-    rows = _mixed(docs, labels, targets, fit_rows, relative).filter("copies > 0").select("row", "text", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    rows = _mixed(docs, labels, targets, fit_rows, relative, path).filter("copies > 0").select("row", "text", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return rows.select(*((F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 

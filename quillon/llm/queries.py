@@ -32,9 +32,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.mixing import label_domains, mix
+    from quillon.llm.packing import vocabulary
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = mix(docs.select("doc_id", "text"), label_domains(labels), {"clean": 0.9, "toxic": 0.04, "junk": 0.06})
+    found = mix(docs.select("doc_id", "text"), label_domains(labels), {"clean": 0.9, "toxic": 0.04, "junk": 0.06}, path=vocabulary())
     p = [F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(("clean", "toxic", "junk"))]
     return found.select("doc_id", "tokens", *p, "rate", "copies")
 

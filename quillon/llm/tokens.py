@@ -22,6 +22,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from quillon.llm import kernels as K
+
 _tokenizers: dict = {}
 _POINTS = string.punctuation.encode()
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on.
@@ -133,6 +135,17 @@ class Units:
                 gc.enable()
 
 
+    def counts(self, part: K.Slice) -> np.ndarray:
+        """The number of ids of each text of a slice; of equal runs one is looked up."""
+        if not self.by_units:
+            return np.array([len(x) // 4 for x in self.ids([part.text(i) for i in range(len(part))])], np.int64)
+        w = K.words(part)
+        _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        raw = part.data.tobytes()
+        size = np.array([len(x) // 4 for x in self.ids([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])], np.int64)
+        return np.bincount(w.row, size[which], len(part)).astype(np.int64) if len(which) else np.zeros(len(part), np.int64)
+
+
 def units(path: str) -> Units:
     """This process's cache for a vocabulary file."""
     if path not in _tokenizers:

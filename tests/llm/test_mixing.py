@@ -30,6 +30,21 @@ def test_expected_totals_meet_the_targets(sourced):
     assert set(rows.columns) >= {"doc_id", "lang", "kept", "key"}
 
 
+def test_tokens_are_the_ids_of_whole_texts(spark, sourced, documents, tmp_path):
+    Tokenizer = pytest.importorskip("tokenizers").Tokenizer
+    from quillon.llm.packing import vocabulary
+
+    docs, labels = sourced
+    odd = ["", None, " \t\n", "<|endoftext|> <|ENDOFTEXT|> Don't STOP-me!", "naïve Ärger 漢字\u00a0x", "word " * 3000 + "Word! WORD", "x" * 5000]
+    docs = docs.unionByName(documents(odd, range(1000, 1000 + len(odd))))
+    whole = Tokenizer.from_file(vocabulary())
+    targets = {"clean": 0.8, "toxic": 0.05, "junk": 0.15}
+    rows = M.mix(docs, labels, targets, path=vocabulary()).toPandas()
+    assert rows["tokens"].tolist() == [len(whole.encode(t or "", add_special_tokens=False).ids) for t in rows["text"]]
+    tokens, p, rate = rows["tokens"].to_numpy(), np.array(rows["p"].tolist()), rows["rate"].to_numpy()
+    assert np.allclose((tokens * rate) @ p / tokens.sum(), list(targets.values()), rtol=3e-3)
+
+
 def test_soft_posteriors_find_held_out_domains(sourced):
     docs, labels = sourced
     rows = M.mix(docs, labels, dict.fromkeys(NAMES, 1.0), relative=True).toPandas()
