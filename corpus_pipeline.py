@@ -43,7 +43,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says."""
     ready(spark)
-    return mixing.rows_mixed(docs, mixing.label_domains(table(spark, sf_dir, "labels")), MIX, relative=True)
+    return mixing.rows_mixed(docs, mixing.label_domains(table(spark, sf_dir, "labels")), MIX, relative=True, path=packing.vocabulary())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
