@@ -18,7 +18,8 @@ import threading
 import time
 import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from itertools import repeat
 
 import numpy as np
 
@@ -26,6 +27,9 @@ from quillon.llm import kernels as K
 
 _tokenizers: dict = {}
 _POINTS = string.punctuation.encode()
+_IS_POINT, _IS_LETTER, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_IS_POINT[list(_POINTS)] = _IS_LETTER[65:91] = _IS_LETTER[97:123] = True
+_LOWER[65:91] += 32
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _WRITTEN = dict(zip(_PRINTABLE, _PRINTABLE, strict=True)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -50,6 +54,7 @@ class Units:
         self.most = most
         self.runs: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
+        self.sizes: dict[str, dict[int, int]] = {}
         self.lock, self.used = threading.Lock(), time.monotonic()
         self.by_units = self._parts_agree()
         threading.Thread(target=self._watch, daemon=True).start()
@@ -70,13 +75,13 @@ class Units:
         while True:
             time.sleep(IDLE / 2)
             with self.lock:
-                if self.runs and time.monotonic() - self.used > IDLE:
+                if (self.runs or self.sizes) and time.monotonic() - self.used > IDLE:
                     self._empty()
                     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library keeps what is freed
                         trim(0)
 
     def _empty(self) -> None:
-        self.runs, self.parts = {}, {b"": b""}
+        self.runs, self.parts, self.sizes = {}, {b"": b""}, {}
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
@@ -136,14 +141,41 @@ class Units:
 
 
     def counts(self, part: K.Slice) -> np.ndarray:
-        """The number of ids of each text of a slice; of equal runs one is looked up."""
+        """The number of ids of each text of a slice.  Runs are cut as in ``_learn``, those of ASCII letters all at once; equal parts are counted once."""
         if not self.by_units:
             return np.array([len(x) // 4 for x in self.ids([part.text(i) for i in range(len(part))])], np.int64)
         w = K.words(part)
-        _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        raw = part.data.tobytes()
-        size = np.array([len(x) // 4 for x in self.ids([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])], np.int64)
-        return np.bincount(w.row, size[which], len(part)).astype(np.int64) if len(which) else np.zeros(len(part), np.int64)
+        n = len(part.data)
+        last = np.maximum.accumulate(np.where(_IS_POINT[part.data], 0, np.arange(1, n + 1)))
+        letters = np.concatenate([[0], np.cumsum(_IS_LETTER[part.data])])
+        cut = np.maximum(last[w.end - 1], w.start)
+        simple = (cut > w.start) & (letters[cut] - letters[w.start] == cut - w.start)
+        lower = _LOWER[part.data]
+        merged = self.tokenizer.model.tokenize
+        merges = lambda runs: [len(merged(x.decode("ascii"))) for x in runs]
+        wholes = lambda runs: [len(x) // 4 for x in self.ids(runs)]
+        tailed = simple & (cut < w.end)
+        out = np.zeros(len(part), np.int64)
+        for kind, data, at, end, count in (("head", lower, w.start, cut, merges), ("tail", lower, cut, w.end, merges), ("whole", part.data, w.start, w.end, wholes)):
+            here = np.flatnonzero({"head": simple, "tail": tailed, "whole": ~simple}[kind])
+            if len(here):
+                out += np.bincount(w.row[here], self._sizes(kind, data, at[here], end[here], count), len(part)).astype(np.int64)
+        return out
+
+    def _sizes(self, kind: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: Callable[[list[bytes]], list[int]]) -> np.ndarray:
+        """What count says of each range of data, remembered by hash."""
+        hashes, first, which = np.unique(K.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        with self.lock:
+            known, self.used = self.sizes.setdefault(kind, {}), time.monotonic()
+            if len(known) > self.most:
+                known = self.sizes[kind] = {}
+        size = np.fromiter(map(known.get, hashes.tolist(), repeat(-1)), np.int64, len(hashes))
+        new = np.flatnonzero(size < 0)
+        if len(new):
+            raw = data.tobytes()
+            size[new] = count([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            known.update(zip(hashes[new].tolist(), size[new].tolist(), strict=True))
+        return size[which]
 
 
 def units(path: str) -> Units:
