@@ -6,12 +6,18 @@ Of the rest, an isolation forest measures how few random splits isolate a
 document's rule ratios; the path length beyond which a document counts as
 anomalous is calibrated on labelled rows.
 
-Scale: one pass without a shuffle gives the counts; the forest (100 trees of
-256 rows) is fitted on the driver on at most ``fit_rows`` labelled rows, a
-bounded sample of six numbers each, and goes to the tasks with the code.
+All labelled rows that pass the rules count, none is sampled: their least and
+largest ratios give the box that the trees split, the good ones fall into the
+trees' leaves, and the scores of good and bad ones give the threshold.
+
+Scale: one pass without a shuffle gives the counts, a few numbers a document,
+which are kept in the shared folder.  Three passes over the labelled rows' numbers
+fit the forest; each task sums up what it has by leaf or by score, so the
+driver gets at most ``TREES`` x 2^``DEPTH`` sums of leaves and twice ``GRID`` of scores.
 
 Edge cases: a null or empty text has no words and fails the rules; without
-labels of both kinds nothing beyond the rules is rejected; repeated rows each
+labels of both kinds nothing beyond the rules is rejected; of several labels
+of a document the least counts, for each of its rows; repeated rows each
 get a row; columns other than doc_id and text are ignored; an empty table gives
 an empty table.
 """
@@ -27,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import kernels as K
-from quillon.llm.samples import labelled
+from quillon.llm.shared import cut
 
-FIT_ROWS, TREES, ROWS_A_TREE, DEPTH, CLEAN_LOSS = 8192, 100, 256, 12, 0.002
+TREES, DEPTH, CLEAN_LOSS = 100, 12, 0.002
+GRID = 1 << 16  # scores are multiples of 1/GRID, so that all different ones fit a small table
 RATIOS = ("symbols", "capitals", "repeats", "lines", "points", "bare")
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, " + ", ".join(f"r_{x} double" for x in RATIOS)
 
@@ -108,9 +115,8 @@ class Forest:
     right: np.ndarray
     scale: float
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """2^(-mean path / expected path): near 1 for rows that few splits isolate, under 0.5 for common rows."""
-        total = np.zeros(len(x))
+    def leaves(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """For each tree, the leaf of each row."""
         rows = np.arange(len(x))
         for feature, value, left, right in zip(self.feature, self.value, self.left, self.right, strict=True):
             node = np.zeros(len(x), np.int64)
@@ -121,55 +127,97 @@ class Forest:
                     break
                 below = x[rows, np.maximum(f, 0)] < value[node]
                 node = np.where(open_, np.where(below, left[node], right[node]), node)
+            yield node
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """2^(-mean path / expected path): near 1 for rows that few splits isolate, less for common rows."""
+        total = np.zeros(len(x))
+        for value, node in zip(self.value, self.leaves(x), strict=True):
             total += value[node]
-        return np.exp2(-total / max(len(self.feature), 1) / self.scale)
+        return np.rint(np.exp2(-total / max(len(self.feature), 1) / self.scale) * GRID) / GRID
+
+    def counts(self, x: np.ndarray) -> np.ndarray:
+        """Rows by tree and leaf."""
+        width = self.feature.shape[1]
+        return np.array([np.bincount(node, minlength=width) for node in self.leaves(x)])
 
 
-def expected_path(n: int) -> float:
+def expected_path(n: np.ndarray | int) -> np.ndarray:
     """Mean path length of an unsuccessful search in a binary search tree of n rows."""
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    n = np.asarray(n, float)
+    m = np.maximum(n, 3)
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2 * (np.log(m - 1) + 0.5772156649015329) - 2 * (m - 1) / m))
 
 
-def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, rows: int = ROWS_A_TREE, depth: int = DEPTH, seed: int = 6) -> Forest:
-    """Trees over subsamples of the reference rows x, with split points uniform over the box from low to high.
+def draw(low: np.ndarray, high: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 6) -> Forest:
+    """Whole trees without rows, children of node i at 2 i + 1 and 2 i + 2, with split points uniform over what is left of the box from low to high.
 
     The box, and not the rows of a node, gives the range: so a ratio that is the
     same in all reference rows still splits off rows that have another.
     """
     rng = np.random.default_rng(seed)
-    rows = min(rows, len(x))
-    grown = []
-    for _ in range(trees):
-        nodes: list[list[float]] = []
-
-        def split(part: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -> int:
-            at = len(nodes)
-            nodes.append([-1, level + expected_path(len(part)), 0, 0])
-            wide = np.flatnonzero(high > low)
-            if level < depth and len(part) > 1 and len(wide):
-                f = int(rng.choice(wide))
-                cut_at = rng.uniform(low[f], high[f])
-                below, under, over = part[:, f] < cut_at, high.copy(), low.copy()
-                under[f] = over[f] = cut_at
-                nodes[at][0], nodes[at][1] = f, cut_at
-                nodes[at][2], nodes[at][3] = split(part[below], low, under, level + 1), split(part[~below], over, high, level + 1)
-            return at
-
-        split(x[rng.choice(len(x), rows, replace=False)], low, high, 0)
-        grown.append(np.array(nodes))
-    width = max(map(len, grown))
-    table = np.array([np.pad(t, ((0, width - len(t)), (0, 0)), constant_values=-1) for t in grown])
-    return Forest(table[:, :, 0].astype(int), table[:, :, 1], table[:, :, 2].astype(int), table[:, :, 3].astype(int), max(expected_path(rows), 1e-9))
-
-
-def calibrate(score: np.ndarray, good: np.ndarray, loss: float = CLEAN_LOSS) -> float:
-    """The threshold above which most bad rows lie, while at most ``loss`` of the good ones do; in the middle of the gap there."""
+    wide, nodes = np.flatnonzero(high > low), np.arange((2 << depth) - 1)
+    feature = np.full((trees, len(nodes)), -1, np.int64)
+    value = np.zeros((trees, len(nodes)))
+    if len(wide):
+        lows, highs = (np.broadcast_to(e, (trees, 1, len(low))).astype(float) for e in (low, high))
+        for level in range(depth):
+            at = slice((1 << level) - 1, (2 << level) - 1)
+            f = wide[rng.integers(0, len(wide), lows.shape[:2])]
+            a, b = (np.take_along_axis(e, f[:, :, None], 2)[:, :, 0] for e in (lows, highs))
+            feature[:, at], value[:, at] = f, a + rng.random(f.shape) * (b - a)
+            own = np.arange(len(low)) == f[:, :, None]
+            split = value[:, at][:, :, None]
+            lows = np.stack([lows, np.where(own, split, lows)], 2).reshape(trees, -1, len(low))
+            highs = np.stack([np.where(own, split, highs), highs], 2).reshape(trees, -1, len(low))
+    inner = feature >= 0
+    return Forest(feature, value, np.where(inner, 2 * nodes + 1, 0), np.where(inner, 2 * nodes + 2, 0), 1.0)
+
+
+def weigh(drawn: Forest, counts: np.ndarray) -> Forest:
+    """The drawn trees cut where no more than one of the counted rows is left; counts: rows by tree and leaf."""
+    trees, size = drawn.feature.shape
+    counts = counts.astype(np.int64)
+    depth = int(size + 1).bit_length() - 2
+    for level in range(depth - 1, -1, -1):
+        at, under = slice((1 << level) - 1, (2 << level) - 1), counts[:, (2 << level) - 1 : (4 << level) - 1]
+        counts[:, at] += under[:, ::2] + under[:, 1::2]
+    inner = (drawn.feature >= 0) & (counts > 1)
+    reached = np.ones((trees, size), bool)
+    for level in range(depth):
+        at, under = slice((1 << level) - 1, (2 << level) - 1), slice((2 << level) - 1, (4 << level) - 1)
+        reached[:, under] = np.repeat(inner[:, at] & reached[:, at], 2, axis=1)
+    levels = np.repeat(np.arange(depth + 1), 1 << np.arange(depth + 1))
+    new = np.cumsum(reached, axis=1) - 1
+    width = int(new.max()) + 1
+    feature, left, right = (np.zeros((trees, width), np.int64) for _ in range(3))
+    value = np.zeros((trees, width))
+    tree, node = np.nonzero(reached)
+    to, go = (tree, new[tree, node]), inner[tree, node]
+    feature[to] = np.where(go, drawn.feature[tree, node], -1)
+    value[to] = np.where(go, drawn.value[tree, node], levels[node] + expected_path(counts[tree, node]))
+    left[to] = np.where(go, new[tree, drawn.left[tree, node]], 0)
+    right[to] = np.where(go, new[tree, drawn.right[tree, node]], 0)
+    return Forest(feature, value, left, right, max(float(expected_path(int(counts[:, 0].max()))), 1e-9))
+
+
+def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> Forest:
+    """The forest of the reference rows x."""
+    drawn = draw(low, high)
+    return weigh(drawn, drawn.counts(x))
+
+
+def calibrate(score: np.ndarray, good: np.ndarray, times: np.ndarray | None = None, loss: float = CLEAN_LOSS) -> float:
+    """The threshold above which most bad rows lie, while at most ``loss`` of the good ones do; in the middle of the gap there.
+
+    times: how many rows each score stands for.
+    """
     if good.all() or not good.any():
         return np.inf
-    values = np.unique(score)
-    up, bad = np.sort(score[good]), np.sort(score[~good])
-    lost = 1 - np.searchsorted(up, values, side="right") / len(up)
-    caught = 1 - np.searchsorted(bad, values, side="right") / len(bad)
+    values, which = np.unique(score, return_inverse=True)
+    times = np.ones(len(score)) if times is None else times
+    up, bad = (np.bincount(which, times * part, len(values)) for part in (good, ~good))
+    lost, caught = (1 - np.cumsum(n) / n.sum() for n in (up, bad))
     worth = np.where(lost <= loss, caught - lost, -1)
     best = int(worth.argmax())
     if worth[best] <= 0:
@@ -196,39 +244,59 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, STATS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Forest | None, float]:
-    """A forest over the good rows of a bounded sample of labelled rows that pass the rules, and its calibrated threshold."""
-    sample = labelled(docs, labels, "quality", fit_rows)
-    marked = sample.select("doc_id", "quality").distinct()
-    rows = rule_statistics(sample).filter("not base_failed").join(F.broadcast(marked), "doc_id").select("doc_id", "quality", *(f"r_{x}" for x in RATIOS)).toPandas()
-    rows = rows.sort_values(list(rows.columns))
-    x, good = rows[[f"r_{r}" for r in RATIOS]].to_numpy(float), rows["quality"].to_numpy() > 0
-    if good.sum() < 2:
+def _ratios(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([batch.column(f"r_{r}").to_numpy(zero_copy_only=False) for r in RATIOS]).astype(float)
+
+
+def fit(stats: DataFrame, labels: DataFrame) -> tuple[Forest | None, float]:
+    """A forest over the good ones of all labelled rows that pass the rules, and its calibrated threshold; stats: rule_statistics."""
+    known = labels.select(F.col("doc_id").cast("long"), "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
+    rows = cut(stats.filter("NOT base_failed").join(known, "doc_id").select("good", *(f"r_{r}" for r in RATIOS)), "judged")
+    ends = rows.agg(F.count_if("good").alias("n"), *(f(f"r_{r}").alias(f"{f.__name__}_{r}") for f in (F.min, F.max) for r in RATIOS)).first()
+    if ends["n"] < 2:
         return None, np.inf
-    forest = grow(x[good], x.min(axis=0), x.max(axis=0))
-    return forest, calibrate(forest.score(x), good)
+    drawn = draw(*(np.array([ends[f"{f}_{r}"] for r in RATIOS]) for f in ("min", "max")))
 
+    def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(drawn.feature.shape, np.int64)
+        for batch in batches:
+            n += drawn.counts(_ratios(batch))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.ravel()[at])], names=["leaf", "n"])
+
+    counts = np.zeros(drawn.feature.size, np.int64)
+    sums = rows.filter("good").mapInArrow(fall, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toPandas()
+    counts[sums["leaf"]] = sums["n"]
+    forest = weigh(drawn, counts.reshape(drawn.feature.shape))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(forest.score(_ratios(batch))), batch.column("good")], names=["score", "good"])
+
+    scores = rows.mapInArrow(judge, "score double, good boolean").groupBy("score", "good").count().toPandas()
+    return forest, calibrate(scores["score"].to_numpy(), scores["good"].to_numpy(bool), scores["count"].to_numpy(float))
 
-def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+
+def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: its counts, base_failed, the anomaly score and whether it is kept."""
-    forest, threshold = fit(docs, labels, fit_rows)
+    stats = cut(rule_statistics(docs), "rules")
+    forest, threshold = fit(stats, labels)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, anomaly double, kept boolean"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch.column(1)):
-                first, s = _table(part, batch.column(0))
-                x = np.column_stack([s[f"r_{r}"] for r in RATIOS]).astype(float)
-                score = forest.score(x) if forest is not None else np.zeros(len(x))
-                yield pa.RecordBatch.from_arrays([*first, pa.array(score), pa.array(~s["base_failed"] & (score <= threshold))], names=names)
+            x = _ratios(batch)
+            score = forest.score(x) if forest is not None else np.zeros(len(x))
+            kept = ~batch.column("base_failed").to_numpy(zero_copy_only=False) & (score <= threshold)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-2]), pa.array(score), pa.array(kept)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return stats.mapInArrow(run, schema)
 
 
-def rows_kept(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def rows_kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that quality_rules keeps."""
-    forest, threshold = fit(docs, labels, fit_rows)
+    forest, threshold = fit(rule_statistics(docs), labels)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
