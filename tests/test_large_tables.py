@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import queries
 from quillon.operators import relational as R
 
 
@@ -32,3 +33,18 @@ def test_equal_rows_all_meet(spark, small_blocks):
     spans = spark.createDataFrame([(0.0, 5.0)] * 40 + [(None, 1.0), (3.0, 2.0)], "low double, high double")
     assert R.interval_join(points, spans, "at", "low", "high", 2.0).count() == 300 * 40
     assert R.interval_join(points.filter("at > 9"), spans, "at", "low", "high", 2.0).count() == 0
+
+
+def test_no_sketch_is_kept_for_each_value(spark, tmp_path):
+    rows = spark.range(3000).select((F.when(F.col("id") % 7 > 0, F.col("id") % 900)).alias("o_custkey"), "id")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    near = queries.queries()["approx_distinct"](spark, str(tmp_path))
+    assert [tuple(r) for r in near.collect()] == [(True,)]
+    plan = near._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan.splitlines() if "keys=[o_custkey" in line and "approx_count_distinct" in line]
+
+
+@pytest.mark.parametrize("keys", [[], [None, None]])
+def test_distinct_counts_without_values(spark, tmp_path, keys):
+    spark.createDataFrame([(k,) for k in keys], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in queries.queries()["approx_distinct"](spark, str(tmp_path)).collect()] == [(True,)] * bool(keys)
